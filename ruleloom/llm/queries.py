@@ -10,6 +10,7 @@ import public_tokenizers
 from . import decontamination, licences, quality as rules
 from .bpe import digest_table
 from .decontamination import contaminated
+from .html_text import extract
 from .langid import predict_language, train_language
 from .licences import scan_licences
 from .near_dup import near_duplicates
@@ -52,6 +53,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by the block labeller."""
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as token ids in Arrow stream files, read back."""
     index = write_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
@@ -78,5 +84,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(_read(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontamination, op4_near_duplicates, op6_token_files, op7_licences, op8_byte_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontamination, op4_near_duplicates, op5_html_text, op6_token_files, op7_licences, op8_byte_bpe, op9_quality, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.oracle(), "op7_licences": licences.oracle(), "op9_quality": rules.oracle()}

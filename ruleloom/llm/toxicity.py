@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, per_chunk, staged, text_table
 from .shingles import windows, word_hashes
@@ -223,13 +224,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``key, score, predicted, evidence`` for every row of ``docs``; repeated rows stay repeated."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
+    """``key, score, predicted`` for every row, with ``carry`` beside the row itself as ``row``; repeated rows stay repeated."""
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = part.column(1).to_pylist()
-        scores = np.array([model.score(x) for x in texts])
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=["key", "score", "predicted"])
+        scores = np.array([model.score(x) for x in part.column(1).to_pylist()])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *part.columns[2:]], names=["key", "score", "predicted", *part.schema.names[2:]])
 
-    return text_table(docs, key, text).mapInArrow(per_chunk(score), f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
+    schema = T.StructType([*T._parse_datatype_string(f"key {kind}, score double, predicted int").fields, *rows.schema.fields[2:]])
+    return rows.mapInArrow(per_chunk(score), schema).withColumnRenamed("key", key)
