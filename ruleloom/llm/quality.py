@@ -110,3 +110,14 @@ c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_su
       FROM w LEFT JOIN r ON w.doc_id = r.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM b"""
+
+
+def passing(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``docs`` that all rules accept, with their own columns.
+
+    A filter on ``kept`` would be pushed below the projections and repeat each of
+    their expressions inside the others; a number that is not deterministic holds it
+    above them.
+    """
+    judged = quality(docs, key=key, text=text, rules=rules, carry=True).withColumn("at", F.monotonically_increasing_id())
+    return judged.where("kept and at >= 0").select("row.*")
