@@ -16,7 +16,7 @@ from ruleloom.llm.bpe import digest_table
 from ruleloom.llm.common import staged
 from ruleloom.llm.decontamination import contaminated
 from ruleloom.llm.near_dup import near_duplicates
-from ruleloom.llm.quality import quality
+from ruleloom.llm.quality import passing
 from ruleloom.llm.toxicity import score_toxicity, train_toxicity
 
 #: SQL can't express the toxicity and byte-pair stages; the tests compare them with brute force.
@@ -31,7 +31,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all quality rules."""
-    return quality(docs, carry=True).where("kept").select("row.*")
+    return passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
