@@ -7,8 +7,9 @@ place where a token may still be open: the bytes since that place (a proper
 prefix of some token) and the tokens up to it.  Reading a byte extends all open
 tokens, closes the one that fits and emits the tokens on which all open places
 agree, so the lookahead never exceeds the longest token.  States and
-transitions are made when first met and kept (up to ``max_states``, then begun
-anew); pieces and their tokens are remembered likewise.
+transitions are made when first met and kept, up to ``max_states``; where there is
+none, the open places are read on side by side.  Pieces and their tokens are
+remembered, up to ``max_pieces``, then anew.
 
 **Decoding.**  A UTF-8 automaton (RFC 3629) walks the bytes token by token; its
 transition for a whole token is computed when first met.  Bytes come out
@@ -22,6 +23,7 @@ Spark strings cannot hold, are replaced; repeated rows stay repeated.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -41,16 +43,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Pieces to tokens by rank merges."""
 
-    def __init__(self, ranks: dict[bytes, int], *, max_states: int = 100_000, max_pieces: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], *, max_states: int = 60_000, max_pieces: int = 600_000):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.max_states, self.max_pieces = max_states, max_pieces
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self._begin()
-
-    def _begin(self) -> None:
         start = ((b"", (-1,)),)
         self.states = [start]
         self.numbers = {start: 0}
@@ -58,23 +57,25 @@ class Transducer:
 
     def merge(self, piece: bytes) -> list[int]:
         """Tokens by the merges themselves, lowest rank first."""
+        get, none = self.ranks.get, 1 << 60
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
+        ranks = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+        while ranks and (least := min(ranks)) < none:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, u: int, t: int) -> bool:
-        if u < 0:
-            known = self.follows.get((u, t))
-            if known is None:
-                known = self.follows[u, t] = self.merge(self.tokens[t]) == [t]
-            return known
-        known = self.follows.get((u, t))
+        """Whether the merges of both tokens' bytes end in these two (-1: nothing precedes)."""
+        key = (u << 20) + t
+        known = self.follows.get(key)
         if known is None:
-            known = self.follows[u, t] = self.merge(self.tokens[u] + self.tokens[t]) == [u, t]
+            known = self.follows[key] = self.merge(self.tokens[t]) == [t] if u < 0 else self.merge(self.tokens[u] + self.tokens[t]) == [u, t]
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -106,21 +107,57 @@ class Transducer:
         return out
 
     def run(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of one piece."""
+        """The tokens of one piece.
+
+        Known transitions are followed; the first unknown one is made and kept, and what is
+        left of the piece is read by all its open places side by side, without making states.
+        """
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.states) > self.max_states:
-            self._begin()
-        state, out, moves = 0, [], self.moves
+        state, out, moves, n = 0, [], self.moves, 0
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
+            move = moves[state].get(byte)
+            fresh = move is None
+            if fresh:
+                if len(moves) >= self.max_states:
+                    break
+                move = self._move(state, byte)
+            n += 1
             state = move[0]
             if move[1]:
                 out += move[1]
-        out += self.states[state][-1][1][1:]  # the place where no token is open comes last
+            if fresh:
+                break
+        places = self.states[state]
+        if n < len(piece):
+            places = self._side_by_side(places, piece, n)
+        out += places[-1][1][1:]  # the place where no token is open comes last
         return tuple(out)
 
+    def _side_by_side(self, places, piece: bytes, n: int):
+        """The open places after the rest of a piece."""
+        rank, prefixes, follows = self.ranks.get, self.prefixes, self.follows
+        for i in range(n, len(piece)):
+            b = piece[i : i + 1]
+            open_, done = [], None
+            for partial, path in places:
+                longer = partial + b
+                if done is None:
+                    t = rank(longer)
+                    if t is not None:
+                        u = path[-1]
+                        ok = follows.get((u << 20) + t)
+                        if ok is None:
+                            ok = self.may_follow(u, t)
+                        if ok:
+                            done = (*path, t)
+                if longer in prefixes:
+                    open_.append((longer, path))
+            open_.append((b"", done))
+            places = open_
+        return places
+
     def piece(self, text: str) -> tuple[int, ...]:
         known = self.pieces.get(text)
         if known is None:
@@ -151,11 +188,17 @@ def _next(state: int, byte: int) -> int:
     return then if low <= byte <= high else _REJECT
 
 
+def whole_tokens(tokens: dict[int, bytes]) -> frozenset[int]:
+    """The tokens that take the automaton from between characters to between characters."""
+    return frozenset(i for i, t in tokens.items() if t.isascii() or StreamDecoder._state(t) == _ACCEPT)
+
+
 class StreamDecoder:
     """Token ids to bytes and text, as they come."""
 
-    def __init__(self, tokens: dict[int, bytes], moves: dict[tuple[int, int], tuple[int, int]] | None = None):
+    def __init__(self, tokens: dict[int, bytes], moves: dict[tuple[int, int], tuple[int, int]] | None = None, whole: frozenset[int] | None = None):
         self.tokens, self.moves = tokens, {} if moves is None else moves
+        self.whole = whole_tokens(tokens) if whole is None else whole
         self.state, self.open = _ACCEPT, b""
 
     def _move(self, token: int) -> tuple[int, int]:
@@ -171,7 +214,18 @@ class StreamDecoder:
         return out
 
     def feed(self, ids: Iterable[int]) -> str:
-        """The text that these ids complete."""
+        """The text that these ids complete.
+
+        Between characters, runs of ids whose tokens are whole characters are read at once.
+        """
+        ids = ids if isinstance(ids, list) else list(ids)
+        ready, token, whole = [], self.tokens.__getitem__, self.whole
+        for at in range(0, len(ids), 32):
+            part = ids[at : at + 32]
+            ready.append(b"".join(map(token, part)).decode("utf-8") if self.state == _ACCEPT and whole.issuperset(part) else self._walk(part))
+        return "".join(ready)
+
+    def _walk(self, ids: list[int]) -> str:
         ready, tokens, moves = [], self.tokens, self.moves
         for token in ids:
             state, end = moves.get((self.state, token)) or self._move(token)
@@ -222,11 +276,16 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.names = {rank: str(rank) for rank in self.transducer.tokens}
         self.moves: dict[tuple[int, int], tuple[int, int]] = {}
+        self.whole = whole_tokens(self.transducer.tokens)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
         if (path, pattern) not in cls._kept:
             cls._kept[path, pattern] = cls(path, pattern)
+            # These tables live as long as the process: no use in tracing them again and again.
+            gc.collect()
+            gc.freeze()
+            gc.set_threshold(50_000, 20, 50)
         return cls._kept[path, pattern]
 
     def encode(self, text: str | None) -> list[int]:
@@ -241,11 +300,11 @@ class Codec:
         return b"".join(map(self.transducer.tokens.__getitem__, ids))
 
     def decode(self, ids: Iterable[int]) -> str:
-        decoder = StreamDecoder(self.transducer.tokens, self.moves)
+        decoder = StreamDecoder(self.transducer.tokens, self.moves, self.whole)
         return decoder.feed(ids) + decoder.finish()
 
     def stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
-        decoder = StreamDecoder(self.transducer.tokens, self.moves)
+        decoder = StreamDecoder(self.transducer.tokens, self.moves, self.whole)
         for part in parts:
             yield decoder.feed(part)
         yield decoder.finish()
