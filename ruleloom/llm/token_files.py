@@ -22,6 +22,7 @@ table has no file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -36,9 +37,14 @@ from pyspark.sql import types as T
 
 from .common import chunks, open_fs, shared_dir, staged, text_table
 
-_MOST = 400_000
+_MOST = 300_000
 _SPLIT = re.compile(r"[ \t\r\n]+").split
 _KEPT: dict[str, WordEncoder] = {}
+#: Words of printable ASCII and Latin-1 letters, and how the pattern of the tokenizer cuts them once in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PLAIN_TEXT = re.compile(r"[!-~À-ÖØ-öø-ÿ \t\r\n]+").fullmatch
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\r\n]+").findall
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordEncoder:
@@ -49,8 +55,19 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # Only where the file lower-cases and cuts by just that pattern may words be cut beforehand.
+        spec = json.loads(self.library.to_str())
+        text = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        self.cuts = json.dumps(_CUTS) in text and '"Lowercase"' in text
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cuts = self.cuts and bool(suffix)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
         self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -58,17 +75,57 @@ class WordEncoder:
             _KEPT[path] = cls(path)
         return _KEPT[path]
 
+    def _library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 4096):
+            out += [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def _pieces(self, new: list[str]) -> list[bytes]:
+        """Pieces that are one pre-token each, many to a call: a token that ends a word ends a piece."""
+        out: list[bytes] = []
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
+            if len(stops) == len(part):
+                data = ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *stops], stops)]
+            else:
+                out += self._library(part)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds words; plain ones are cut where the pre-tokenizer cuts them, so that few pieces are new to the library."""
+        words, pieces = self.words, self.pieces
+        plain = [w for w in new if self.cuts and _PLAIN(w) and not self.special(w)]
+        cut = [_CUT(w.lower()) for w in plain]
+        fresh = list({p: None for ps in cut for p in ps if p not in pieces})
+        pieces.update(zip(fresh, self._pieces(fresh), strict=True))
+        for w, ps in zip(plain, cut, strict=True):
+            words[w] = b"".join([pieces[p] for p in ps])
+        rest = [w for w in new if w not in words]
+        words.update(zip(rest, self._library(rest), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [_SPLIT(x) if x else [] for x in texts]
         if len(self.words) > _MOST:
             self.words = {"": b""}
-        words = self.words
-        new = list({w: None for ws in split for w in ws if w not in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        if len(self.pieces) > 2 * _MOST:
+            self.pieces = {}
+        words, pieces = self.words, self.pieces
+        # Plain texts are cut into pieces at once, others into words first.
+        plain = [bool(x) and self.cuts and _PLAIN_TEXT(x) is not None and self.special(x) is None for x in texts]
+        split = [_CUT(x.lower()) if ok else _SPLIT(x) if x else [] for x, ok in zip(texts, plain)]
+        fresh: set[str] = set()
+        for ps, ok in zip(split, plain):
+            if ok:
+                fresh.update(ps)
+        if fresh := sorted(fresh.difference(pieces)):
+            pieces.update(zip(fresh, self._pieces(fresh)))
+        new = list({w: None for ws, ok in zip(split, plain) if not ok for w in ws if w not in words})
+        if new:
+            self._learn(new)
+        return [b"".join(map((pieces if ok else words).__getitem__, ps)) for ps, ok in zip(split, plain)]
 
 
 def _schema(kind: pa.DataType, length: int) -> pa.Schema:
