@@ -72,26 +72,26 @@ def _all(columns: Iterable[Column]) -> Column:
     return F.lit(True) if out is None else out
 
 
-def _finish(by_key: DataFrame, rule: Rule, fields: dict[str, Column]) -> DataFrame:
+def _finish(by_key: DataFrame, rule: Rule, fields: dict[str, Column], singles: bool) -> DataFrame:
     names = rule.tables()
-    if names[0] == names[1]:
+    if names[0] == names[1] and not singles:
         by_key = by_key.where("every > 1")
     return by_key.agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in fields.items()])
 
 
-def support(tables: TableSet, rule: Rule) -> DataFrame:
-    """One row: ``lhs_support`` and ``support`` of a rule."""
+def support(tables: TableSet, rule: Rule, singles: bool = False) -> DataFrame:
+    """One row: ``lhs_support`` and ``support`` of a rule; ``singles`` counts keys that one row alone has, too."""
     joins, c0, c1 = _shape(rule)
     keys = [f"k{i}" for i in range(len(joins))]
     p = rule.rhs if rule.rhs.is_constant or rule.rhs.left.variable == 0 else rule.rhs.swapped()
     if not p.is_constant:
         by_value = _by_value(tables, rule, p.left.column, p.right.column)
         by_key = by_value.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("every").alias("every"), F.sum(_product("a", "b")).alias("ab"))
-        return _finish(by_key, rule, {"lhs_support": _product("a", "b"), "support": F.col("ab")})
-    return constant_consequences(tables, rule.lhs, [p])
+        return _finish(by_key, rule, {"lhs_support": _product("a", "b"), "support": F.col("ab")}, singles)
+    return constant_consequences(tables, rule.lhs, [p], singles)
 
 
-def constant_consequences(tables: TableSet, lhs: Iterable[Predicate], consequences: list[Predicate]) -> DataFrame:
+def constant_consequences(tables: TableSet, lhs: Iterable[Predicate], consequences: list[Predicate], singles: bool = False) -> DataFrame:
     """Supports of rules with one left side and several constant consequences, from one scan.
 
     One row: ``lhs_support`` and ``support`` (or ``support_i`` for several).
@@ -121,10 +121,10 @@ def constant_consequences(tables: TableSet, lhs: Iterable[Predicate], consequenc
     fields = {"lhs_support": _product("a", "b")}
     for i, p in enumerate(consequences):
         fields["support" if len(consequences) == 1 else f"support_{i}"] = _product(f"h{i}", "b" if p.left.variable == 0 else "a")
-    return _finish(by_key, rule, fields)
+    return _finish(by_key, rule, fields, singles)
 
 
-def evaluate(tables: TableSet, rules: list[Rule], width: int = 150) -> list[tuple[int, int]]:
+def evaluate(tables: TableSet, rules: list[Rule], width: int = 150, singles: bool = False) -> list[tuple[int, int]]:
     """``(lhs_support, support)`` of each rule; rules that share a left side share a scan.
 
     One job for each ``width`` plans; only two numbers a rule come to the driver.
@@ -135,10 +135,10 @@ def evaluate(tables: TableSet, rules: list[Rule], width: int = 150) -> list[tupl
         if r.rhs.is_constant:
             const.setdefault(r.lhs, []).append(i)
         else:
-            plans.append(support(tables, r).select(F.lit(i).alias("i"), "lhs_support", "support"))
+            plans.append(support(tables, r, singles).select(F.lit(i).alias("i"), "lhs_support", "support"))
     for lhs, at in const.items():
         for part in (at[j : j + 100] for j in range(0, len(at), 100)):
-            got = constant_consequences(tables, lhs, [rules[i].rhs for i in part])
+            got = constant_consequences(tables, lhs, [rules[i].rhs for i in part], singles)
             many = [F.struct(F.lit(i).alias("i"), "lhs_support", F.col("support" if len(part) == 1 else f"support_{n}").alias("support")) for n, i in enumerate(part)]
             plans.append(got.select(F.inline(F.array(*many))))
     out: dict[int, tuple[int, int]] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +85,6 @@ class RelevanceModel:
 
     def column(self, lhs: str, rhs: str):
         """The score as a column over arrays of ids, batch-wise."""
-        import pandas as pd
-
         model = self
 
         def run(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -61,19 +61,13 @@ class Chosen:
 
 
 def pair_counts(tables: TableSet, sets: list[frozenset[Predicate]]) -> list[int]:
-    """Ordered pairs that satisfy all predicates of each set; contradictory sets have none."""
+    """Ordered pairs with present values that satisfy all predicates of each set; contradictory sets have none."""
     out = [0] * len(sets)
-    todo, at = [], []
-    for i, s in enumerate(sets):
-        if closure(s) is None:
-            continue
-        constant = next((p for p in sorted(s, key=str) if p.is_constant), None)
-        rhs = constant or sorted(s, key=str)[-1]
-        rest = set(s) - {rhs}
-        todo.append(Rule.of(rest if rest else s, rhs))
-        at.append(i)
-    for i, (_, s) in zip(at, evaluate(tables, todo) if todo else [], strict=True):
-        out[i] = s
+    at = [i for i, s in enumerate(sets) if closure(s) is not None]
+    # The pairs of a set are the left side's pairs of a rule; its consequence is of no matter.
+    todo = [Rule.of(sets[i], min(sets[i], key=lambda p: (not p.is_constant, str(p)))) for i in at]
+    for i, (x, _) in zip(at, evaluate(tables, todo, singles=True) if todo else [], strict=True):
+        out[i] = x
     return out
 
 

@@ -248,10 +248,7 @@ def topk_rules(spark, d):
 _FIRST, _SECOND = "t0.p_brand == t1.p_brand -> t0.p_type == t1.p_type", "t0.p_size == t1.p_size -> t0.p_type == t1.p_type"
 
 
-@query("""WITH x AS (SELECT p_size, p_type, count(*) AS n FROM part GROUP BY 1, 2), y AS (SELECT p_size, p_type, p_brand, count(*) AS n FROM part GROUP BY 1, 2, 3),
-gx AS (SELECT sum(n) AS e, sum(n * n) AS s FROM x GROUP BY p_size), gy AS (SELECT p_brand, p_size, p_type, sum(n) AS e, sum(n * n) AS s FROM y GROUP BY 1, 2, 3),
-gz AS (SELECT p_brand, p_size, sum(e) AS e, sum(s) AS s FROM gy GROUP BY 1, 2)
-SELECT CAST((SELECT sum(s) FROM gx WHERE e > 1) - (SELECT sum(s) FROM gz WHERE e > 1) AS BIGINT) AS new_pairs""")
+@query("""SELECT CAST((SELECT sum(n * n) FROM (SELECT count(*) AS n FROM part GROUP BY p_size, p_type)) - (SELECT sum(n * n) FROM (SELECT count(*) AS n FROM part GROUP BY p_size, p_type, p_brand)) AS BIGINT) AS new_pairs""")
 def tuple_coverage_exact(spark, d):
     n = scoring.coverage(tables(spark, d, "part"), rule(_SECOND, "part"), [rule(_FIRST, "part")])
     return spark.createDataFrame([(n,)], "new_pairs long")
@@ -592,3 +589,105 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(distance, 9
 SELECT vec_id, label, round(distance, 6) AS distance FROM r WHERE rank <= greatest(1, floor(0.1 * n))""")
 def cluster_representatives(spark, d):
     return sampling.representatives(read(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.1).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+# --- sources, sinks, models and streams ----------------------------------------------------------
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_brand, CAST(p_size AS VARCHAR) AS p_size FROM part")
+def csv_round_trip(spark, d):
+    """Written as CSV, read back through the folder reader."""
+    from .sources.readers import read_directory
+    from .sources.writers import write_csv
+    from .staging import shared_dir
+
+    folder = shared_dir(spark)
+    write_csv(read(spark, d, "part").select("p_partkey", "p_brand", "p_size"), f"{folder}/part.csv")
+    return read_directory(spark, folder).table("part")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def orc_round_trip(spark, d):
+    from .sources.readers import read_table
+    from .staging import shared_dir
+
+    path = f"{shared_dir(spark)}/region.orc"
+    read(spark, d, "region").write.orc(path)
+    return read_table(spark, path).select("r_regionkey", "r_name")
+
+
+@query()
+def rule_file_round_trip(spark, d):
+    """Rules found, written as result lines and read again."""
+    from .sources.readers import read_rule_table
+    from .sources.writers import write_rules
+    from .staging import shared_dir
+
+    path = f"{shared_dir(spark)}/rules"
+    write_rules(topk_diversified(spark, d), path)
+    return read_rule_table(spark, path)
+
+
+@query("SELECT count(*) AS n FROM part USING SAMPLE 100%")
+def ratio_scan(spark, d):
+    """A tenth of the rows twice over, by row hash, counted against the whole."""
+    from .sources.readers import read_table
+
+    whole = read_table(spark, f"{d}/part.parquet")
+    part = read_table(spark, f"{d}/part.parquet", ratio=0.1)
+    rest = whole.join(part, whole.columns, "left_anti")
+    return part.select("p_partkey").union(rest.select("p_partkey")).agg(F.count("*").alias("n"))
+
+
+@query()
+def evaluated_rules(spark, d):
+    """Given rules with their counts and the pairs that no earlier rule covers."""
+    rules = [rule(t, "part") for t in (_FIRST, _SECOND, "t0.p_brand == t1.p_brand -> t0.p_size == t1.p_size")]
+    rows = scoring.evaluate_rules(tables(spark, d, "part"), rules, 1)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "rule string, lhs_support long, supp long, conf double, new_pairs long")
+
+
+@query()
+def relevance_scores(spark, d):
+    """A relevance model fitted on rule pairs by their violations, applied to all level-one rules."""
+    from .plans.relevance import RelevanceModel, encode
+
+    rules = [rule(t, "part") for t in ("t0.p_brand == t1.p_brand -> t0.p_type == PROMO", "t0.p_brand == t1.p_brand -> t0.p_type == t1.p_type", "t0.p_type == t1.p_type -> t0.p_size == 7", "t0.p_size == t1.p_size ^ t0.p_type == PROMO -> t0.p_brand == t1.p_brand")]
+    names = sorted({str(p) for r in [*rules, *_level_rules()] for p in (*r.lhs, r.rhs)})
+    ids = {n: i + 1 for i, n in enumerate(names)}
+    ranked = rule_pairs(spark, tables(spark, d, "part"), rules, {"part": ("p_partkey", "p_partkey")}, pairs=50).collect()  # rule pairs
+    model = RelevanceModel(len(ids) + 1)
+    coded = [encode(r, ids) for r in rules]
+    side = lambda k, i: [coded[r[k]][i] for r in ranked]
+    model.fit((side("left_id", 0), side("left_id", 1)), (side("right_id", 0), side("right_id", 1)), [r["label"] for r in ranked], epochs=50, rate=1e-2)
+    rows = [(str(r), *encode(r, ids)) for r in _level_rules()]
+    return spark.createDataFrame(rows, "rule string, lhs array<int>, rhs array<int>").select("rule", F.round(model.column("lhs", "rhs"), 6).alias("score"))
+
+
+@query()
+def predicate_precision(spark, d):
+    """Predicates with a partial dependence on each other, by the graphical lasso."""
+    names = ["discount", "many", "returned"]
+    e = evidence.evidence(read(spark, d, "lineitem"), {"discount": F.col("l_discount") > 0.05, "many": F.col("l_quantity") > 25, "returned": F.col("l_returnflag") == "R"})
+    theta = evidence.graphical_lasso(evidence.correlation(evidence.matrix(e, names), names), penalty=0.001)
+    return spark.createDataFrame([(a, b, round(float(theta[i, j]), 6)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j], "a string, b string, precision double")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type <> '' GROUP BY 1")
+def stream_histogram(spark, d):
+    """The histogram of an event stream, brought up to date batch by batch."""
+    from .staging import shared_dir
+    from .streaming.histograms import histogram_stream, write_counts
+
+    folder = shared_dir(spark)
+    events = read(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parque[t]")
+    write_counts(histogram_stream(stream, "event_type"), f"{folder}/counts", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/counts")
+
+
+@query()
+def discovery_two_tables(spark, d):
+    """Rules across customer and supplier, tied by a joinable column."""
+    t = tables(spark, d, "customer", "supplier", skip={"customer": {"c_name", "c_acctbal", "c_custkey"}, "supplier": {"s_name", "s_acctbal", "s_suppkey"}})
+    return discovery.discover(spark, t, Config(support=1e-5, confidence=0.1, k=3, max_x=2, trade_off=0.5, low=5, high=90, small_domain=0, share=0.01, key_share=1.0, weights=Weights(tuple_coverage=0.0)))
