@@ -8,11 +8,12 @@
    each, in any common order.  The order puts long lists last (their lengths are
    counted over all classes): these lists are skipped unless a class has little else.
 3. Each list's most central member is compared with the others (a star, not all
-   pairs): whoever agrees in ``matches`` coordinates is a candidate, confirmed on the full sets.
+   pairs).  Whoever agrees with it in a longer sketch (``sketch`` values of eight bits, with
+   the same small chance of a loss) is confirmed on the full sets.
 4. Only lists whose members still lie in different components are merged in full:
    collisions are counted inside the task in blocks, each pair in the first list it
    shares, and only agreeing pairs of different components leave it (of long
-   lists only those whose sets, at hand there, pass the exact test).  They are confirmed likewise.
+   lists only those whose sets, at hand there, pass the exact test).  They are sketched and confirmed likewise.
 
 Pairs inside a component are never produced, so a group of n copies costs a star of
 n.  A list with many members in different components costs comparisons of their
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_chunk, staged, text_table
+from .common import per_chunk, released, staged, text_table
 from .components import connected_components
 from .shingles import minhash, overlap, seeds, shingle_set
 
@@ -75,12 +76,12 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
 
 
 def _postings(classes: DataFrame, coordinates: int, matches: int, long_list: int, most: int) -> DataFrame:
-    """``fp, n, sig32, mask, central, tokens``: each class with its prefix in the common order."""
+    """``id, n, sig32, mask, central, tokens``: each class with its prefix in the common order."""
 
     def emit(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(_tokens(_fixed(part.column(1), "<u8", coordinates)).ravel().view(np.int64))], names=["token"])
 
-    counted = classes.select("fp", "sig").mapInArrow(per_chunk(emit), "token long").groupBy("token").agg(F.count("*").alias("n"))
+    counted = classes.select("id", "sig").mapInArrow(per_chunk(emit), "token long").groupBy("token").agg(F.count("*").alias("n"))
     # The longest lists by name; any order that all classes share is right, so ``most`` bounds only memory.
     top = counted.where(F.col("n") > long_list).orderBy(F.desc("n"), "token").limit(most).toArrow()
     names, sizes = top.column(0).to_numpy().view(_U), top.column(1).to_numpy()
@@ -100,9 +101,9 @@ def _postings(classes: DataFrame, coordinates: int, matches: int, long_list: int
         mask = np.bitwise_or.reduce(_U(1) << order.astype(_U), axis=1)
         central = np.log1p(length).sum(axis=1)
         chosen = np.take_along_axis(tokens, order, 1).view(np.int64)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sig.astype("<u4")], pa.binary()), pa.array(mask.view(np.int64)), pa.array(central), pa.array(list(chosen), pa.list_(pa.int64()))], names=["fp", "n", "sig32", "mask", "central", "tokens"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sig.astype("<u4")], pa.binary()), pa.array(mask.view(np.int64)), pa.array(central), pa.array(list(chosen), pa.list_(pa.int64()))], names=["id", "n", "sig32", "mask", "central", "tokens"])
 
-    return classes.select("fp", "n", "sig").mapInArrow(per_chunk(pick, 2), "fp binary, n long, sig32 binary, mask long, central double, tokens array<long>")
+    return classes.select("id", "n", "sig").mapInArrow(per_chunk(pick, 2), "id long, n long, sig32 binary, mask long, central double, tokens array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -128,22 +129,24 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets are similar enough."""
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(part: pa.RecordBatch) -> pa.RecordBatch:
-        ok = []
-        for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        ok, last = [], (None, None)
+        for b, x, y in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            if last[0] != b:  # rows come sorted by b: a leader's set is made once
+                last = b, shingle_set(y, k)
+            x, y = shingle_set(x, k), last[1]
             common = overlap(x, y)
             ok.append(100 * common >= percent * (len(x) + len(y) - common))
         return part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.mapInArrow(per_chunk(check, 2), "a binary, b binary")
+    return joined.mapInArrow(per_chunk(check, 2), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, coordinates: int = 64, matches: int | None = None, long_list: int = 32, in_task: int = 256, block: int = 2048) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, coordinates: int = 48, matches: int | None = None, long_list: int = 32, in_task: int = 256, block: int = 2048, sketch: int = 192) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row.
 
     Two texts are linked where ``100 * intersection >= percent * union`` of their sets of
@@ -152,50 +155,65 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if matches is None:
         p = percent / 100
         matches = max(1, math.floor(coordinates * p - 5.05 * math.sqrt(coordinates * p * (1 - p))))
-    all_ = staged(profiles(docs, key, text, k, coordinates), "profiles")
-    classes = staged(all_.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes")
-    slim = staged(_postings(classes, coordinates, matches, long_list, 100_000), "postings")
-    posted = slim.select(F.explode("tokens").alias("token"), "fp")
+    signed = staged(profiles(docs, key, text, k, coordinates), "profiles")
+    classed = staged(signed.where("fp is not null").groupBy("fp").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("sig").alias("sig")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    slim = staged(_postings(classed, coordinates, matches, long_list, 100_000), "postings")
+    # Signatures are large and have served: from here on rows and classes are narrow.
+    all_, classes = staged(signed.select("key", "fp", "n"), "rows"), staged(classed.select("id", "fp", "key"), "classes")
+    released(signed, classed)
+    posted = slim.select(F.explode("tokens").alias("token"), "id")
     lists = posted.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    members = staged(posted.join(lists, "token").join(slim.drop("tokens"), "fp"), "members")
+    members = staged(posted.join(lists, "token").select("token", "id", "size"), "members")
 
-    # The full sets of all classes that share a list, from their texts (rows that only repeat a key don't fit the fingerprint).
-    wanted = members.select("fp").distinct().join(classes.select("fp", "key"), "fp").withColumnRenamed("key", "rep")
+    # The texts of all classes that share a list (rows that only repeat a key don't fit the fingerprint and go).
+    wanted = members.select("id").distinct().join(classes.select("id", "fp", F.col("key").alias("rep")), "id")
     texts = text_table(docs, key, text)
-    texts = texts.join(wanted, texts["key"].eqNullSafe(wanted["rep"])).select("fp", "text")
+    texts = texts.join(wanted, texts["key"].eqNullSafe(wanted["rep"])).select("id", "text", "fp")
 
-    def full(part: pa.RecordBatch) -> pa.RecordBatch:
-        got = {}
-        for fp, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+    multiply, add = seeds(sketch, salt=1)
+
+    def fits(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, kept, sketches = [], [], []
+        for i, x, fp in zip(*(part.column(j).to_pylist() for j in range(3)), strict=True):
             s = shingle_set(x, k)
             if len(s) and _fingerprint(s) == fp:
-                got[fp] = s.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(got.keys(), pa.binary()), pa.array(got.values(), pa.binary())], names=["fp", "set"])
+                ids.append(i)
+                kept.append(x)
+                sketches.append((minhash(s, multiply, add) & _U(255)).astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.string()), pa.array(sketches, pa.binary())], names=["id", "text", "sketch"])
 
-    sets = staged(texts.mapInArrow(per_chunk(full), "fp binary, set binary"), "sets")
+    texts = staged(texts.mapInArrow(per_chunk(fits), "id long, text string, sketch binary"), "texts")
 
-    # Stars: the member that shares most with others leads its list.
-    led = members.groupBy("token").agg(F.max_by(F.struct(F.col("fp").alias("b"), F.col("n").alias("m"), F.col("sig32").alias("led")), F.struct("central", "fp")).alias("l")).select("token", "l.*")
-    spokes = members.join(led, "token").where(F.expr(f"fp <> b and 100 * least(n, m) >= {percent} * greatest(n, m)")).select("fp", "b", "sig32", "led")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """The pairs whose longer sketches agree as often as similar sets do but for one chance in millions."""
+        p = percent / 100
+        least = math.floor(sketch * p - 5.3 * math.sqrt(sketch * p * (1 - p)))
+        side = lambda name, column: texts.select(F.col("id").alias(name), F.col("sketch").alias(column))
 
-    def agree(part: pa.RecordBatch) -> pa.RecordBatch:
-        ok = (_fixed(part.column(2), "<u4", coordinates) == _fixed(part.column(3), "<u4", coordinates)).sum(axis=1) >= matches
-        return part.select(["fp", "b"]).filter(pa.array(ok))
+        def agree(part: pa.RecordBatch) -> pa.RecordBatch:
+            ok = (_fixed(part.column(2), "u1", sketch) == _fixed(part.column(3), "u1", sketch)).sum(axis=1) >= least
+            return part.select(["a", "b"]).filter(pa.array(ok))
 
-    pairs = spokes.mapInArrow(per_chunk(agree, 2), "fp binary, b binary").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
-    links = _confirmed(pairs, sets, percent)
+        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(per_chunk(agree, 2), "a long, b long")
+
+    # Stars: the member that shares most with others leads its list.
+    led = members.join(slim.select("id", "central"), "id").groupBy("token").agg(F.max(F.struct("central", "id")).alias("l")).select("token", F.col("l.id").alias("b"))
+    spokes = members.join(led, "token").where("id <> b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    pairs = staged(likely(spokes), "stars")
+    links = staged(_confirmed(pairs, texts, k, percent), "links")
     first = staged(connected_components(links), "components")
 
     # Merges: lists whose members are still apart, in blocks.
-    placed = members.join(first, members["fp"] == first["node"], "left").select("token", "fp", "size", "n", "sig32", "mask", F.coalesce("root", "fp").alias("comp"))
+    placed = staged(members.join(first, members["id"] == first["node"], "left").select("token", "id", "size", F.coalesce("root", "id").alias("comp")), "placed")
     apart = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rows = placed.join(apart, "token")
-    small = rows.where(F.col("size") <= in_task).select("*", F.lit(None).cast("binary").alias("set"))
-    big = rows.where(F.col("size") > in_task).join(sets, "fp").select(*small.columns)
+    rows = staged(placed.join(apart, "token"), "apart")
+    small = rows.where(F.col("size") <= in_task).select("*", F.lit(None).cast("string").alias("text"))
+    big = rows.where(F.col("size") > in_task).join(texts, "id").select(*small.columns)
+    rows = small.union(big).join(slim.select("id", "n", "sig32", "mask"), "id")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    cells = small.union(big).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    dealt = cells.select("token", "i", "j", "own", "fp", "comp", "n", "mask", "sig32", "set").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    cells = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = cells.select("token", "i", "j", "own", "id", "comp", "n", "mask", "sig32", "text").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out_a, out_b = [], []
@@ -207,10 +225,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             inside = c["i"][0].as_py() == c["j"][0].as_py()
             sig = np.frombuffer(b"".join(c["sig32"].to_pylist()), "<u4").reshape(-1, coordinates)
             prefix = (c["mask"].to_numpy().view(_U)[:, None] >> np.arange(coordinates, dtype=_U)) & _U(1) == 1
-            n, own_, fps = c["n"].to_numpy(), c["own"].to_numpy(), c["fp"].to_pylist()
-            comp = np.unique(np.array([int.from_bytes(x[:8], "little") for x in c["comp"].to_pylist()], _U), return_inverse=True)[1]
-            full_sets = [None if x is None else np.frombuffer(x, "<u8") for x in c["set"].to_pylist()]
-            for x in range(len(fps) - 1):
+            n, own_, ids = c["n"].to_numpy(), c["own"].to_numpy(), c["id"].to_pylist()
+            comp = c["comp"].to_numpy()
+            full_sets = [None if x is None else shingle_set(x, k) for x in c["text"].to_pylist()]
+            for x in range(len(ids) - 1):
                 y = np.flatnonzero((comp[x + 1 :] != comp[x]) & (100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x]))) + x + 1
                 if not inside:
                     y = y[own_[y] != own_[x]]
@@ -227,21 +245,21 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                         common = overlap(full_sets[x], full_sets[z])
                         if 100 * common < percent * (len(full_sets[x]) + len(full_sets[z]) - common):
                             continue
-                    out_a.append(min(fps[x], fps[z]))
-                    out_b.append(max(fps[x], fps[z]))
+                    out_a.append(min(ids[x], ids[z]))
+                    out_b.append(max(ids[x], ids[z]))
             if len(out_a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
                 out_a, out_b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    more = _confirmed(dealt.mapInArrow(merge, "a binary, b binary").distinct(), sets, percent)
+    found = staged(likely(staged(dealt.mapInArrow(merge, "a long, b long").distinct(), "merged")), "likely")
+    more = staged(_confirmed(found, texts, k, percent), "links")
     root = connected_components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # A component's identifier is the least key of all its classes.
-    labelled = classes.select("fp", "key").join(root.withColumnRenamed("node", "fp"), "fp")
+    labelled = classes.select("id", "key").join(root.withColumnRenamed("node", "id"), "id")
     least = labelled.groupBy("root").agg(F.min("key").alias("component_id"))
-    names = labelled.join(least, "root").select("fp", "component_id")
-    alone = classes.select("fp", F.col("key").alias("own_id"))
-    by_class = alone.join(names, "fp", "left").select("fp", F.coalesce("component_id", "own_id").alias("component_id"))
+    names = labelled.join(least, "root").select("id", "component_id")
+    by_class = classes.select("id", "fp", F.col("key").alias("own_id")).join(names, "id", "left").select("fp", F.coalesce("component_id", "own_id").alias("component_id"))
     full_rows = all_.where("fp is not null").select("key", "n", "fp").join(by_class, "fp").select("key", "n", "component_id")
     empty = all_.where("fp is null").select("key", "n", F.col("key").alias("component_id"))
     out = full_rows.union(empty)
