@@ -226,12 +226,15 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
     """``key, score, predicted`` for every row, with ``carry`` beside the row itself as ``row``; repeated rows stay repeated."""
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), *([F.struct("*").alias("row")] if carry else []))
+    # With ``carry`` the row travels once and its text is read off it.
+    body = F.struct("*").alias("row") if carry else docs[text].cast("string").alias("text")
+    rows = docs.select(docs[key].alias("key"), body)
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
-        scores = np.array([model.score(x) for x in part.column(1).to_pylist()])
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *part.columns[2:]], names=["key", "score", "predicted", *part.schema.names[2:]])
+        texts = part.column(1).field(text) if carry else part.column(1)
+        scores = np.array([model.score(x) for x in texts.to_pylist()])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *([part.column(1)] if carry else [])], names=["key", "score", "predicted", *(["row"] if carry else [])])
 
-    schema = T.StructType([*T._parse_datatype_string(f"key {kind}, score double, predicted int").fields, *rows.schema.fields[2:]])
+    kind = docs.schema[key].dataType.simpleString()
+    schema = T.StructType([*T._parse_datatype_string(f"key {kind}, score double, predicted int").fields, *(rows.schema.fields[1:] if carry else [])])
     return rows.mapInArrow(per_chunk(score), schema).withColumnRenamed("key", key)
