@@ -73,8 +73,18 @@ def per_chunk(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: int = 1)
     return apply
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of about 8 MB at most, whatever the texts' lengths: workers and JVM buffers stay small."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name))
+    now = int(now.rstrip("bB")) if now.rstrip("bB").isdigit() else 0
+    if now <= 0 or now > most:
+        spark.conf.set(name, str(most))
+
+
 def text_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """Just the key and the text, as columns ``key`` and ``text``; other columns can't clash."""
+    small_batches(df.sparkSession)
     return df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
 
 

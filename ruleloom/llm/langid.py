@@ -87,7 +87,7 @@ class LanguageModel:
         return self.languages[best], float(p[best]), bool(p[best] >= self.threshold)
 
 
-def fit_language(rows: list[tuple[np.ndarray, np.ndarray, str]], *, buckets: int, dim: int = 16, epochs: int = 5, rate: float = 0.5, target: float = 0.99, seed: int = 7) -> LanguageModel:
+def fit_language(rows: list[tuple[np.ndarray, np.ndarray, str]], *, buckets: int, dim: int = 16, epochs: int | None = None, rate: float = 0.5, target: float = 0.99, seed: int = 7) -> LanguageModel:
     """SGD over (buckets, counts, language) rows; a fifth of them calibrates."""
     names = sorted({r[2] for r in rows})
     if not names:
@@ -99,6 +99,7 @@ def fit_language(rows: list[tuple[np.ndarray, np.ndarray, str]], *, buckets: int
     table = random.normal(0, 0.1, (buckets, dim))
     weight, bias = np.zeros((len(names), dim)), np.zeros(len(names))
     at = {n: i for i, n in enumerate(names)}
+    epochs = epochs or max(5, -(-8_000 // max(1, len(train))))
     steps, done = max(1, epochs * len(train)), 0
     for _ in range(epochs):
         for i in random.permutation(train):

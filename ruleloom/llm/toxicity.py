@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, per_chunk, staged, text_table
+from .common import chunks, per_chunk, small_batches, staged, text_table
 from .shingles import windows, word_hashes
 
 _U = np.uint64
@@ -226,6 +226,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", t
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.5, carry: bool = False) -> DataFrame:
     """``key, score, predicted`` for every row, with ``carry`` beside the row itself as ``row``; repeated rows stay repeated."""
+    small_batches(docs.sparkSession)
     # With ``carry`` the row travels once and its text is read off it.
     body = F.struct("*").alias("row") if carry else docs[text].cast("string").alias("text")
     rows = docs.select(docs[key].alias("key"), body)
