@@ -88,7 +88,10 @@ def quality(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules:
     )
     judged = counts.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     order = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(F.col("key").alias(key), *order, (~F.col("base_failed") & compile_rules(rules)).alias("kept"), *carried)
+    # A filter on the result would be pushed below the projections and repeat each of their expressions
+    # inside the others; a number that isn't deterministic holds it above them.
+    verdict = ~F.col("base_failed") & compile_rules(rules) & (F.monotonically_increasing_id() >= 0)
+    return judged.select(F.col("key").alias(key), *order, verdict.alias("kept"), *carried)
 
 
 def oracle(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
@@ -113,11 +116,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def passing(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that all rules accept, with their own columns.
-
-    A filter on ``kept`` would be pushed below the projections and repeat each of
-    their expressions inside the others; a number that is not deterministic holds it
-    above them.
-    """
-    judged = quality(docs, key=key, text=text, rules=rules, carry=True).withColumn("at", F.monotonically_increasing_id())
-    return judged.where("kept and at >= 0").select("row.*")
+    """The rows of ``docs`` that all rules accept, with their own columns."""
+    return quality(docs, key=key, text=text, rules=rules, carry=True).where("kept").select("row.*")
