@@ -264,3 +264,18 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     empty = all_.where("fp is null").select("key", "n", F.col("key").alias("component_id"))
     out = full_rows.union(empty)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``near_duplicates`` over documents (``k`` 3, 85 percent); for small tables."""
+    return r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+c AS (SELECT min(doc_id) AS id, md5(array_to_string(list_sort(g), chr(10))) AS h, any_value(g) AS g FROM g WHERE len(g) > 0 GROUP BY h),
+s AS (SELECT id, len(g) AS n, unnest(g) AS s FROM c),
+p AS (SELECT a.id AS u, b.id AS v FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r(id, m) AS (SELECT u, u FROM e UNION SELECT r.id, e.v FROM r JOIN e ON r.m = e.u),
+k AS (SELECT c.h, coalesce(min(r.m), c.id) AS component_id FROM c LEFT JOIN r ON r.id = c.id GROUP BY c.h, c.id)
+SELECT doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+FROM g LEFT JOIN k ON len(g.g) > 0 AND md5(array_to_string(list_sort(g.g), chr(10))) = k.h"""

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontamination, licences, quality as rules
+from . import decontamination, licences, near_dup, warc
+from . import quality as rules
 from .bpe import digest_table
 from .decontamination import contaminated
 from .html_text import extract
@@ -85,4 +86,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontamination, op4_near_duplicates, op5_html_text, op6_token_files, op7_licences, op8_byte_bpe, op9_quality, op10_warc)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.oracle(), "op7_licences": licences.oracle(), "op9_quality": rules.oracle()}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.oracle(), "op4_near_duplicates": near_dup.oracle(), "op7_licences": licences.oracle(), "op9_quality": rules.oracle(), "op10_warc": warc.oracle()}

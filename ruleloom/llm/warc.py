@@ -201,3 +201,11 @@ def read_archive(index: DataFrame, *, key: str = "page_id") -> DataFrame:
 
     rows = index.select(F.col(key).alias("key"), "uri", "frame", "offset").mapInArrow(read, f"key {kind.simpleString()}, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return rows.select(F.col("key").alias(key), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of ``read_archive`` over pages."""
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+q AS (SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM q"""
