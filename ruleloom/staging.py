@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -21,4 +22,17 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: lineage ends, and a lost executor costs nothing that is written."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # What the job shuffled is of no more use; Spark drops those files once the garbage is collected.
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing refers to any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(df.staged_at).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
