@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows handed to numpy at once stay near this many bytes of text (one longer row goes alone).
-CHUNK_BYTES = 2 << 20
+from ..staging import released, shared_dir, staged
 
+__all__ = ["CHUNK_BYTES", "chunks", "open_fs", "per_chunk", "released", "shared_dir", "small_batches", "staged", "text_table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names none (tests, local mode) a temporary one is set.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="ruleloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/ruleloom-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again.
-
-    Cuts the lineage so that a lost executor costs no recomputation of what is
-    already written, and a result used twice is computed once.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    # What the job shuffled is of no more use; Spark drops those files once the garbage is collected.
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def released(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing refers to any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(df.staged_at).getParent()
-        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+#: Rows handed to numpy at once stay near this many bytes of text (one longer row goes alone).
+CHUNK_BYTES = 2 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:

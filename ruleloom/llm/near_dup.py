@@ -36,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import per_chunk, released, staged, text_table
-from .components import connected_components
 from .shingles import minhash, overlap, seeds, shingle_set
 
 _U = np.uint64

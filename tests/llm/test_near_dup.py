@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from ruleloom.llm.components import connected_components
+from ruleloom.operators.components import connected_components
 from ruleloom.llm.near_dup import near_duplicates
 from tests.llm.test_text_operators import ODD, odd, shingles
 
