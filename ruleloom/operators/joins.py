@@ -145,6 +145,33 @@ def similarity_join(left: DataFrame, right: DataFrame, lkey: str, ltext: str, rk
     return both.select("l", "r", score.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def similarity_classes(df: DataFrame, key: str, text: str, *, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Rows as ``key, fp`` (null for texts without a shingle) and their classes of equal shingle sets as ``fp, class_id, n, text``.
+
+    A class goes by its least key.
+    """
+    from ..functions.strings import shingles
+
+    found = F.array_sort(F.array_distinct(shingles(F.col(text), k)))
+    # Shingles have one length, so their concatenation tells sets apart.
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.when(F.size(found) > 0, F.sha2(F.concat_ws("", found), 256)).alias("fp"))
+    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("key").alias("class_id"), F.count("*").alias("n"), F.min("text").alias("text"))
+    return rows.select("key", "fp"), classes
+
+
+def class_pairs(classes: DataFrame, *, k: int = 3, threshold: float = 0.5) -> DataFrame:
+    """``l, r, jaccard``: fingerprints of different classes that are similar enough, both ways round."""
+    return similarity_join(classes, classes, "fp", "text", "fp", "text", k=k, threshold=threshold).where("l <> r")
+
+
+def similarity_links(df: DataFrame, key: str, text: str, *, k: int = 3, threshold: float = 0.5) -> DataFrame:
+    """``key, class_id, links`` for every row: how many other rows are similar enough, without making the rows' pairs."""
+    rows, classes = similarity_classes(df, key, text, k=k)
+    others = class_pairs(classes, k=k, threshold=threshold).join(classes.select(F.col("fp").alias("r"), "n"), "r").groupBy(F.col("l").alias("fp")).agg(F.sum("n").alias("others"))
+    counted = classes.join(others, "fp", "left").select("fp", "class_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return rows.join(counted, "fp", "left").select(F.col("key").alias(key), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def uncovered(pairs: DataFrame, covered: DataFrame) -> DataFrame:
     """Pairs that no chosen rule covers."""
     return pairs.join(covered, pairs.columns, "left_anti")

@@ -353,6 +353,21 @@ def similarity_join(spark, d):
     return joins.similarity_join(p.where("p_partkey % 20 = 0"), p, "p_partkey", "p_name", "p_partkey", "p_name").withColumn("jaccard", F.round("jaccard", 9))
 
 
+@query()
+def similarity_links(spark, d):
+    """Every part against every part: its class of equal shingle sets and how many other parts are similar."""
+    return joins.similarity_links(read(spark, d, "part"), "p_partkey", "p_name")
+
+
+@query()
+def similarity_class_pairs(spark, d):
+    """Similar classes of parts by their least keys; with ``similarity_links`` for membership, every link between parts."""
+    _, classes = joins.similarity_classes(read(spark, d, "part"), "p_partkey", "p_name")
+    ids = classes.select("fp", "class_id")
+    met = joins.class_pairs(classes).join(ids.toDF("l", "a"), "l").join(ids.toDF("r", "b"), "r")
+    return met.where("a < b").select(F.col("a").alias("l"), F.col("b").alias("r"), F.round("jaccard", 9).alias("jaccard"))
+
+
 @query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') USING (o_orderkey)")
 def uncovered_rows(spark, d):
     o = read(spark, d, "orders")

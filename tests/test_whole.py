@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ruleloom import queries
-from ruleloom.operators import ranking
+from ruleloom.operators import joins, ranking
 
 
 def recall_of(got, e, k=3):
@@ -36,3 +36,24 @@ def test_nearest_in_small_blocks(spark):
     found = {q: [(r["i"], r["distance"]) for r in got if r["q"] == q] for q in (0, 20, 40, 60)}
     assert found == {0: [(7, 0.0), (14, 0.0), (21, 0.0)], 20: [(6, 0.0), (13, 0.0), (27, 0.0)], 40: [(5, 0.0), (12, 0.0), (19, 0.0)], 60: [(0, 1.0), (1, 1.0), (2, 1.0)]}
     assert ranking.nearest(df.limit(0), F.col("vec_id") % 20 == 0, "vec_id", "embedding", 3).count() == 0
+
+
+def test_similarity_links_cover_all_parts(spark):
+    sf = "/root/testdata/sf0.01"
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    sets = {k: frozenset(n[i : i + 3] for i in range(len(n) - 2)) for k, n in names.items()}
+    similar = {(a, b) for a in set(sets.values()) for b in set(sets.values()) if 2 * len(a & b) >= len(a | b)}
+    size, least = {}, {}
+    for k, s in sorted(sets.items()):
+        size[s] = size.get(s, 0) + 1
+        least.setdefault(s, k)
+    got = {r["p_partkey"]: (r["class_id"], r["links"]) for r in queries.QUERIES["similarity_links"](spark, sf).collect()}
+    assert got == {k: (least[s], sum(size[b] for a, b in similar if a == s) - 1) for k, s in sets.items()}
+    pairs = {(r["l"], r["r"]) for r in queries.QUERIES["similarity_class_pairs"](spark, sf).collect()}
+    assert pairs == {(least[a], least[b]) for a, b in similar if least[a] < least[b]}
+
+
+def test_similarity_links_odd_rows(spark):
+    rows = [(1, "abcdef"), (2, "abcdef"), (2, "abcdefg"), (None, "abcdef"), (5, None), (6, "ab"), (7, "zzzz")]
+    got = joins.similarity_links(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()
+    assert sorted((r["k"] or 0, r["class_id"] or 0, r["links"]) for r in got) == [(0, 1, 3), (1, 1, 3), (2, 1, 3), (2, 2, 3), (5, 0, 0), (6, 0, 0), (7, 7, 0)]
