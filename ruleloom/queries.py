@@ -198,6 +198,15 @@ def ml_predicate_pairs(spark, d):
     return pairs(tables(spark, d, "customer"), ps, ["c_custkey"], ["c_custkey"], {"near": m}, ("c_custkey", "c_custkey"))
 
 
+@query("WITH m AS (SELECT l.c_custkey AS l, r.c_custkey AS r FROM customer l JOIN customer r ON l.c_nationkey = r.c_nationkey AND l.c_custkey < r.c_custkey) SELECT a.c_custkey AS t0_c_custkey, b.c_custkey AS t1_c_custkey FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_mktsegment <> '' JOIN m ON m.l = a.c_custkey AND m.r = b.c_custkey")
+def ml_predicate_pairs_all(spark, d):
+    """Every pair of customers of one nation as the classifier's answer."""
+    c = read(spark, d, "customer")
+    m = c.select(F.col("c_custkey").alias("l"), "c_nationkey").join(c.select(F.col("c_custkey").alias("r"), "c_nationkey"), "c_nationkey").where("l < r").select("l", "r")
+    ps = [parse_predicate("t0.c_mktsegment == t1.c_mktsegment", "customer"), parse_predicate("ML_near(t0.c_custkey, t1.c_custkey)", "customer")]
+    return pairs(tables(spark, d, "customer"), ps, ["c_custkey"], ["c_custkey"], {"near": m}, ("c_custkey", "c_custkey"))
+
+
 @query("SELECT o_orderstatus, CAST(sum(less) AS BIGINT) AS pairs FROM (SELECT o_orderstatus, n * coalesce(sum(n) OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS less FROM (SELECT o_orderstatus, o_orderdate, count(*) AS n FROM orders GROUP BY 1, 2)) GROUP BY 1")
 def inequality_pair_counts(spark, d):
     return joins.inequality_count(read(spark, d, "orders"), "o_orderdate", ["o_orderstatus"])
@@ -548,6 +557,13 @@ def label_components(spark, d):
     return matching.components(read(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") * 3 % 1000).alias("v")), "u", "v")
 
 
+@query()
+def label_components_all(spark, d):
+    """Components over the edges of all customers; recursive SQL is too slow for them."""
+    c = F.col("c_custkey")
+    return matching.components(read(spark, d, "customer").select(c.alias("u"), (c * 3 % 1000).alias("v")), "u", "v")
+
+
 @query()
 def mixture_match(spark, d):
     x, y = F.col("x"), F.col("y")

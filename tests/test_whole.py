@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ruleloom import queries
 from ruleloom.operators import joins, ranking
+from tests.oracle import agree
 
 
 def recall_of(got, e, k=3):
@@ -57,3 +58,25 @@ def test_similarity_links_odd_rows(spark):
     rows = [(1, "abcdef"), (2, "abcdef"), (2, "abcdefg"), (None, "abcdef"), (5, None), (6, "ab"), (7, "zzzz")]
     got = joins.similarity_links(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()
     assert sorted((r["k"] or 0, r["class_id"] or 0, r["links"]) for r in got) == [(0, 1, 3), (1, 1, 3), (2, 1, 3), (2, 2, 3), (5, 0, 0), (6, 0, 0), (7, 7, 0)]
+
+
+def test_components_of_all_customers(spark):
+    sf = "/root/testdata/sf0.1"
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").collect()]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for u in keys:
+        if u != u * 3 % 1000:
+            a, b = find(u), find(u * 3 % 1000)
+            up[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in queries.QUERIES["label_components_all"](spark, sf).collect()}
+    assert got == {x: find(x) for x in list(up)}
+
+
+def test_predicate_pairs_of_whole_nations(spark):
+    agree(spark, queries.QUERIES["ml_predicate_pairs_all"], queries.ORACLE_SQL["ml_predicate_pairs_all"], "/root/testdata/sf0.01")
