@@ -34,16 +34,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return passing(docs)
 
 
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows with a number each, written so that it stays the same, and the number's column."""
+    row = "row_number"
+    while row in docs.columns:
+        row += "_"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group (five words, 0.8)."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the least doc_id of each near-duplicate group (five words, 0.8).
+
+    Rows are told apart by number, not by doc_id: one row stays of a group whatever its keys, also of rows with
+    equal doc_ids; a null doc_id comes after all others.  Texts without a word are in no group and all stay.
+    """
+    rows, row = _numbered(docs, "near_dedup_rows")
+    groups = near_duplicates(rows, key=row).select(row, "component_id")
+    first = groups.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{row}").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (80 % of its five-word shingles)."""
-    found = staged(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item (80 % of its five-word shingles).
+
+    Each row is judged by its own text: a null doc_id hides nothing, and rows of equal doc_id don't share a verdict.
+    """
+    rows, row = _numbered(docs, "decontamination_rows")
+    found = staged(contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=row).select(row).distinct(), "contaminated")
+    return rows.join(found, row, "left_anti").select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

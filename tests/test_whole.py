@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ruleloom import queries
 from ruleloom.operators import joins, ranking
 from tests.oracle import agree
@@ -80,3 +81,16 @@ def test_components_of_all_customers(spark):
 
 def test_predicate_pairs_of_whole_nations(spark):
     agree(spark, queries.QUERIES["ml_predicate_pairs_all"], queries.ORACLE_SQL["ml_predicate_pairs_all"], "/root/testdata/sf0.01")
+
+
+def test_stages_tell_rows_apart(spark):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, one), (1, two), (1, two), (2, three), (2, two), (None, three), (3, None), (3, ""), (None, None), (4, item), (4, one + " other"), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None)
+    kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()]
+    assert sorted(kept, key=key) == sorted([(1, two), (2, three), (3, None), (3, ""), (None, None), (4, item), (4, one + " other")], key=key)
+    clean = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, sf).collect()]
+    assert sorted(clean, key=key) == sorted([r for r in rows if r[1] != item], key=key)
