@@ -12,8 +12,9 @@ from a seed: articles in various containers between menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments, of invented words.
 
 Defined cases: null and empty pages, and pages without a main block, have an empty
-text; unclosed elements end where HTML's common rules end them; a script or
-comment that is never closed runs to the end; repeated rows stay repeated.
+text; unclosed elements end where HTML's common rules end them; only scripts,
+styles and comments are cut, and one that is never closed runs to the end: text of all
+other elements is the labeller's to judge; repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -31,14 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import per_chunk
 
-#: Fixed values of HTML: elements that start a block, that have no end, whose content is no text, and that end an open paragraph.
+#: Fixed values of HTML: elements that start a block, that have no end, whose content is no text, whose text is a block of its own within a paragraph, and that end an open paragraph.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NO_TEXT = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button"
+NO_TEXT = "script|style"
+APART = frozenset("canvas iframe noscript select template textarea".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head", "title")}
 SCOPE = frozenset("table ul ol dl article section div main body aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({NO_TEXT})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({NO_TEXT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -68,7 +70,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = links = drawn = 0
 
     def flush() -> None:
         nonlocal linked
@@ -96,6 +98,20 @@ def blocks(page: str | None) -> list[Block]:
             parts.append(" ")
         elif name == "a":
             links = 0 if end else 1
+        elif name in ("svg", "math"):
+            if end:
+                drawn = max(drawn - 1, 0)
+            elif not m[0].endswith("/>"):
+                drawn += 1
+        elif name == "title" and drawn:
+            parts.append(" ")
+        elif name in APART:
+            flush()
+            if not end:
+                stack.append((name, _element(name, m[4] or m[7] or "")))
+            elif name in (e for e, _ in stack):
+                while stack.pop()[0] != name:
+                    pass
         elif name in BLOCK:
             flush()
             if end:

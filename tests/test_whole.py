@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ruleloom import queries
+from ruleloom.llm.html_text import blocks, extract
 from ruleloom.operators import joins, ranking
 from tests.oracle import agree
 
@@ -94,3 +95,19 @@ def test_stages_tell_rows_apart(spark):
     assert sorted(kept, key=key) == sorted([(1, two), (2, three), (3, None), (3, ""), (None, None), (4, item), (4, one + " other")], key=key)
     clean = [tuple(r) for r in corpus_pipeline.decontamination(spark, docs, sf).collect()]
     assert sorted(clean, key=key) == sorted([r for r in rows if r[1] != item], key=key)
+
+
+def test_pages_lose_no_text_to_elements(spark):
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts('<p>one <svg width="1"/>two <math/>three</p><p>four') == ["one two three", "four"]
+    assert texts("<p>a <button-group>b</button-group> c <template-x>d</template-x> <object-card>e</p><p>f") == ["a b c d e", "f"]
+    for name in ("button", "object", "svg", "math", "noscript", "select", "template", "iframe", "canvas", "textarea"):
+        assert " ".join(texts(f"<p>before <{name}>within</{name}> after</p><p>end")) == "before within after end"
+        assert " ".join(texts(f"<p>before <{name}>within</p><p>end")) == "before within end"
+    assert texts("<p>x <svg><title>icon</title><path/></svg> y</p>") == ["x icon y"]
+    assert texts("<p>kept<script>cut") == texts("<p>kept<style >cut") == texts("<p>kept<!-- cut") == ["kept"]
+    assert texts("<p>a<scripted>b</scripted>c") == ["abc"]
+    body = "The first long sentence of the article stands here, with words and an end. "
+    page = f"<html><body><article><h1>Head</h1><p>{body}<svg/></p><p>{body}<math><mi>x</mi></math> more of it.</p><p>{body}<button>unclosed</p><p>{body}last.</p></article></body></html>"
+    got = extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()["text"]
+    assert got.count("The first long sentence") == 4 and "x more of it." in got and got.endswith("last.")
