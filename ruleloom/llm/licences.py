@@ -51,6 +51,11 @@ TEMPLATES = (
 )
 
 
+#: For the scan of windows: what tells BSD-3 from BSD-2, beside the clause that their texts share.
+ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+WINDOW_TEMPLATES = (*TEMPLATES, ("BSD-2-Clause", "Released under the BSD 2-Clause License."), ("BSD-3-Clause", ENDORSEMENT))
+
+
 def normalised_bigrams(text: str) -> list[str]:
     """The distinct word bigrams of a text, in order."""
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -78,6 +83,45 @@ def scan_licences(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     return best.select(F.col("key").alias(key), F.col("top.id").alias("licence"), F.coalesce(F.round(-F.col("top.d"), 9), F.lit(0.0)).alias("dice"), F.expr("array_join(array_sort(array_distinct(m.id)), ',')").alias("licences"), F.col("n").cast("long").alias("n_passages"))
 
 
+def scan_windows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", templates=WINDOW_TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """``key, licence, dice, licences`` for every row: what ``scan_licences`` finds and what windows of the text hold.
+
+    Every window of a template's number of words over the text's word sequence is compared, so a notice
+    inside a line, over comment marks or in a text of one line is found.  A window that reaches the threshold holds at least
+    ``threshold / (2 - threshold)`` of the template's bigrams, so other templates are left out by the whole text's bigrams first.
+    Where a text has BSD-3's own clause, the redistribution clause that it shares with BSD-2 is not told as BSD-2.
+    """
+    ratio = threshold / (2 - threshold)
+    rows = [(name, normalised_bigrams(body), len(re.sub(r"[^a-z0-9]+", " ", body.lower()).split()) - 1) for name, body in templates]
+    shared = next((i for i, (_, body) in enumerate(templates) if body.startswith("Redistribution and use in source")), -1)
+    own = next((i for i, (_, body) in enumerate(templates) if body == ENDORSEMENT), -1)
+    array = lambda xs: F.array(*map(F.lit, xs))
+    table = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(name).alias("id"), array(grams).alias("b"), F.lit(len(grams)).alias("n"), F.lit(size).alias("size")) for i, (name, grams, size) in enumerate(rows)])
+    known = array(sorted({g for _, grams, _ in rows for g in grams}))
+    base = docs.select(docs[key].alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+    # Passages as in scan_licences: they may be longer or shorter than a template.
+    cut = base.select("key", "t", F.expr(r"array_distinct(concat(split(t, '\n'), split(t, '\n[ \t\r]*\n'), array(t)))").alias("u"))
+    words = cut.select("key", F.expr("transform(u, x -> filter(split(regexp_replace(lower(x), '[^a-z0-9]+', ' '), ' '), y -> y <> ''))").alias("w"), F.expr("filter(split(regexp_replace(lower(t), '[^a-z0-9]+', ' '), ' '), y -> y <> '')").alias("all"))
+    pairs = "CASE WHEN size({0}) > 1 THEN transform(sequence(1, size({0}) - 1), i -> concat(get({0}, i - 1), ' ', get({0}, i))) ELSE array() END"
+    grams = words.select("key", F.expr(f"transform(w, x -> array_distinct({pairs.format('x')}))").alias("g"), F.expr(pairs.format("all")).alias("all"))
+    met = grams.withColumn("hit", F.array_intersect("all", known))
+    near = met.select("key", "g", "all", F.when(F.size("hit") > 0, F.filter(table, lambda y: F.size(F.array_intersect("hit", y["b"])) >= y["n"] * ratio - 1e-9)).otherwise(F.array().cast(met.select(table).schema.fields[0].dataType)).alias("near"))
+
+    def dice(x, y):
+        return 2.0 * F.size(F.array_intersect(x, y["b"])) / (F.size(x) + y["n"])
+
+    def best(y):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - y["size"] + 1))
+        windows = F.transform(starts, lambda i: dice(F.array_distinct(F.slice("all", i, y["size"])), y))
+        passages = F.transform(F.filter("g", lambda x: (F.size(x) >= y["n"] * ratio) & (F.size(x) * ratio <= y["n"])), lambda x: dice(x, y))
+        return F.struct(F.array_max(F.concat(windows, passages)).alias("d"), y["id"].alias("id"), y["at"].alias("at"))
+
+    scored = near.select("key", F.filter(F.transform("near", best), lambda z: z["d"] >= threshold).alias("m"))
+    told = scored.select("key", F.filter("m", lambda z: (z["at"] != shared) | ~F.exists("m", lambda o: o["at"] == own)).alias("m"))
+    top = told.select("key", "m", F.expr("get(array_sort(transform(m, x -> struct(-x.d as d, x.id as id))), 0)").alias("top"))
+    return top.select(F.col("key").alias(key), F.col("top.id").alias("licence"), F.coalesce(F.round(-F.col("top.d"), 9), F.lit(0.0)).alias("dice"), F.expr("array_join(array_sort(array_distinct(m.id)), ',')").alias("licences"))
+
+
 def oracle(table: str = "documents", templates=TEMPLATES, threshold: float = 0.8) -> str:
     """DuckDB SQL for the rows of ``scan_licences``."""
     sets = [(name, normalised_bigrams(body)) for name, body in templates]

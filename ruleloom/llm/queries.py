@@ -13,7 +13,7 @@ from .bpe import digest_table
 from .decontamination import contaminated
 from .html_text import extract
 from .langid import predict_language, train_language
-from .licences import scan_licences
+from .licences import scan_licences, scan_windows
 from .near_dup import near_duplicates
 from .quality import quality
 from .token_files import read_tokens, write_tokens
@@ -66,10 +66,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences that every document names or quotes."""
+    """Licences that a line, a paragraph or the whole of each document names or quotes."""
     return scan_licences(_read(spark, sf_dir, "documents"))
 
 
+def op7_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or quotes, wherever the words stand."""
+    return scan_windows(_read(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded by the transducer and decoded again."""
     return digest_table(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -85,5 +90,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(_read(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontamination, op4_near_duplicates, op5_html_text, op6_token_files, op7_licences, op8_byte_bpe, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_decontamination, op4_near_duplicates, op5_html_text, op6_token_files, op7_licences, op7_licence_windows, op8_byte_bpe, op9_quality, op10_warc)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.oracle(), "op4_near_duplicates": near_dup.oracle(), "op7_licences": licences.oracle(), "op9_quality": rules.oracle(), "op10_warc": warc.oracle()}
