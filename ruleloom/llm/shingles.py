@@ -54,18 +54,21 @@ def _grow(n: int) -> None:
 
 def word_hashes(data: bytes) -> np.ndarray:
     """The hash of each word of ``data`` (UTF-8), in order."""
-    if not data:
-        return np.empty(0, _U)
+    return word_spans(data)[0]
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word of ``data`` (UTF-8), in order, with the places where it starts and ends."""
     raw = _LOWER[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True])).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
-        return np.empty(0, _U)
+        return np.empty(0, _U), starts, ends
     _grow(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, _U)
     with np.errstate(over="ignore"):
         np.cumsum((raw.astype(_U) + _U(1)) * _UP[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(_U))
+        return mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(_U)), starts, ends
 
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:

@@ -1,28 +1,34 @@
-"""Toxicity: class-conditional Kneser-Ney models over words and word pairs.
-
-Two interpolated Kneser-Ney models, one per class, share their lowest order: the
-continuation distribution of both classes together.  Counts are of continuations: in how many
-different word sequences a word or pair ends, so that a passage which many rows
-share counts once.  What the discounts free is handed out by the shared backoff
-in proportion to what each expression lost in either class; a rare expression has
-nothing but that, and both models give it the same likelihood.  A text's evidence
-is the length-normalised toxic log-likelihood minus the ordinary one; a word whose
-two likelihoods differ by less than ``margin`` counts as equal.  A logistic curve,
-fitted on training rows that the models did not see, makes evidence a score.
+"""Toxicity: class-conditional Kneser-Ney models of how words are spelled.
+
+A word is its characters between two boundary signs, and a model gives each sign's
+likelihood after up to ``order - 1`` signs before it in the word.  The toxic and
+the ordinary model discount their own counts of the longest sequences and hand
+what the discounts free to one shared backoff: the interpolated Kneser-Ney model of
+both classes together, which goes down order by order on continuation counts to
+equal shares of the signs.  Discounts (one each for counts of 1, 2 and more) come
+from the counts of counts of each order and class.  A rare expression has little
+but the shared backoff, so both models give it nearly the same likelihood.
+
+Toxic texts are mostly ordinary words.  So a toxic text is taken to draw each word
+from the toxic model with probability ``rate`` and from the ordinary one otherwise:
+its log-likelihood minus the ordinary one is, for a word, log(1 - rate + rate * T/O).
+Summed over the n words of a text and normalised by length, by n (the difference a
+word) and by the root of n (the same against its chance spread), the difference
+is made a score by a logistic curve, fitted on training rows that the models did not see.
 
 Training uses a bounded sample of labelled rows (``max_train``, by hash of the
-key); counting is distributed and the driver only gets expressions that reach
-``min_count``.  Scoring is vectorised: words are 64-bit hashes looked up in sorted arrays.
-
-Defined cases: null and empty texts get the training share of toxic rows as
-score, texts without a word have no evidence; nulls in label columns are
-no training rows; a key labelled twice counts once, toxic if any label says so;
-without training rows of both classes every score is 0.
+key): all of them up to that number.  Words are counted by the distinct two-word
+histories that they end in each class, so a passage that many rows share counts
+once.  Counting is distributed; the driver gets the sample's words with two counts each.
+
+Defined cases: null, empty and wordless texts have no evidence and get the curve's
+value for none; nulls in label columns are no training rows; a key labelled twice
+counts once, toxic if any label says so; repeated rows are scored each; equal texts
+get equal scores; without training rows of both classes every score is 0.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,21 +39,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, per_chunk, small_batches, staged, text_table
-from .shingles import windows, word_hashes
+from .shingles import mix, word_spans
 
 _U = np.uint64
-_START = np.array([1], _U)
+_STEP = _U(0x9E3779B97F4A7C15)
 _MARKS = b".,;:!?\"()[]{}|#*$%&<>/\\"
 _STRIP = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+
 
+def _clean(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_STRIP).translate(_LOWER)
 
-def _words(text: str) -> np.ndarray:
-    return word_hashes(text.encode("utf-8", "surrogatepass").translate(_STRIP))
 
+def _signs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words, each between two blanks; places within the words; the words' numbers."""
+    joined = b" " + b"  ".join(words) + b" "
+    a = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    blank = a == 32
+    first = blank & (np.cumsum(blank) % 2 == 1)
+    at = np.arange(len(a))
+    return a, at - np.maximum.accumulate(np.where(first, at, 0)), np.cumsum(first) - 1
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+
+def _longer(h: np.ndarray, a: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of sequences one sign longer than ``h`` has, where the word has that sign."""
+    out = np.empty_like(h)
     with np.errstate(over="ignore"):
-        return (v * _U(0x9E3779B97F4A7C15)) ^ w
+        out[0], out[1:] = h[0], mix(h[:-1] * _STEP + a[1:])
+    return np.where(place > 0, out, h)
+
+
+def _longest(a: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the sequence of up to ``order`` signs that ends at each place, and of its context."""
+    h = mix(a + _U(7))
+    for _ in range(order - 2):
+        h = _longer(h, a, place)
+    return _longer(h, a, place), np.concatenate((h[:1], h[:-1]))
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,168 +87,183 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0, 1, 2 and above, from the counts of counts."""
+    n = [int((counts == i).sum()) for i in range(1, 5)]
+    out = np.array([0.0, 0.5, 0.75, 0.9])
+    if n[0] and n[1]:
+        y = n[0] / (n[0] + 2 * n[1])
+        for i in (1, 2, 3):
+            out[i] = min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.05), i) if n[i - 1] and n[i] else max(out[i - 1], y)
+    return out
+
+
+def _interpolated(counts: np.ndarray, context: np.ndarray, below: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Likelihood of each sequence's last sign; the contexts and the weight that each gives to ``below``."""
+    contexts, of = np.unique(context, return_inverse=True)
+    off = discounts(counts)[np.minimum(counts, 3).astype(int)]
+    total = np.bincount(of, counts, len(contexts))
+    weight = np.where(total > 0, np.bincount(of, off, len(contexts)) / np.maximum(total, 1), 1.0)
+    return (counts - off) / np.maximum(total, 1)[of] + weight[of] * below, contexts, weight
+
+
 @dataclass
 class ToxicityModel:
-    """Sorted hashes with log-likelihoods of both classes, and the score's curve."""
-
-    words: np.ndarray  # keys of words
-    word_ll: np.ndarray  # (toxic, ordinary) log P(w)
-    back: np.ndarray  # (toxic, ordinary) log of the backoff weight of w as context
-    pairs: np.ndarray  # keys of pairs
-    pair_ll: np.ndarray  # (toxic, ordinary) log P(w | v)
-    unseen: np.ndarray  # (toxic, ordinary) log P of a word that only the backoff knows
-    prior: float
-    curve: tuple[float, float] = (0.0, 0.0)
-    margin: float = 1.0  # a word whose likelihoods differ by less than this (in logarithms) counts as equal
-    damping: float = 20.0  # words added to every length, so that a few words are weak evidence
-
-    def evidence(self, text: str | None) -> float:
-        """Length-normalised toxic minus ordinary log-likelihood, beyond ``margin`` a word."""
-        w = _words(text) if text else np.empty(0, _U)
-        if not len(w):
-            return 0.0
-        at, known = _find(self.words, w)
-        ll = np.where(known[:, None], self.word_ll[at], self.unseen) if len(self.words) else np.tile(self.unseen, (len(w), 1))
-        if len(w) > 1 and len(self.words):
-            ll[1:] += np.where(known[:-1, None], self.back[at[:-1]], 0.0)
-            to, seen = _find(self.pairs, _pair(w[:-1], w[1:]))
-            if seen.any():
-                ll[1:][seen] = self.pair_ll[to[seen]]
-        ratio = ll[:, 0] - ll[:, 1]
-        ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - self.margin, 0.0)
-        return float(ratio.sum() / (len(w) + self.damping))
-
-    def score(self, text: str | None) -> float:
-        if not text or not len(self.words):
-            return self.prior
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * self.evidence(text) + b, -30, 30))))
-
-
-def _log(x: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(x, 1e-300))
-
-
-def fit_counts(words: dict, pairs: dict, contexts: dict, totals: dict, prior: float, discount: float = 6.0) -> ToxicityModel:
-    """The models from counts: arrays of two columns (toxic, ordinary) by key."""
-    n = np.maximum(totals["tokens"], 1.0)
-    discount = discount * n / n.min()
-    # The shared backoff hands out what the discounts of both classes have freed, word by word, so a
-    # frequent word of one class gets little from it and a rare one nearly all it has.
-    floor = 1.0 / max(totals["freed"].sum(), 1.0)
-    shared = np.minimum(words["counts"], discount).sum(axis=1) * floor
-    lam = np.maximum(totals["freed"], 1e-9) / n
-    p_word = np.maximum(words["counts"] - discount, 0.0) / n + lam * shared[:, None]
-    order = np.argsort(words["key"])
-    keys, p_word = words["key"][order], p_word[order]
-    back = np.zeros((len(keys), 2))
-    at, ok = _find(keys, contexts["key"])
-    weight = np.where(contexts["counts"] > 0, contexts["freed"] / np.maximum(contexts["counts"], 1.0), 1.0)
-    back[at[ok]] = _log(weight[ok])
-    total = np.zeros((len(keys), 2))
-    total[at[ok]] = contexts["counts"][ok]
-    iv, ov = _find(keys, pairs["v"])
-    iw, ow = _find(keys, pairs["w"])
-    use = ov & ow
-    c, t = pairs["counts"][use], total[iv[use]]
-    p_pair = np.where(t > 0, np.maximum(c - discount, 0.0) / np.maximum(t, 1.0), 0.0) + np.exp(back[iv[use]]) * p_word[iw[use]]
-    k = _pair(pairs["v"][use], pairs["w"][use])
-    o = np.argsort(k)
-    return ToxicityModel(keys, _log(p_word), back, k[o], _log(p_pair)[o], _log(lam * floor), prior)
-
-
-def fit_curve(d: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 100) -> tuple[float, float]:
-    """Logistic regression by damped Newton steps."""
-    scale = max(float(np.abs(d).max(initial=0)), 1e-9)
-    x = np.stack([d / scale, np.ones(len(d))], axis=1)
-    theta = np.zeros(2)
+    """Log-likelihood ratios (toxic to ordinary) by sequence and, for unseen ones, by context; the score's curve."""
+
+    keys: np.ndarray
+    ratio: np.ndarray
+    contexts: np.ndarray
+    unseen: np.ndarray
+    order: int = 8
+    rate: float = 0.01
+    curve: tuple[float, float, float] | None = None  # weights of both features and the level without evidence
+
+    def word_ratios(self, words: list[bytes]) -> np.ndarray:
+        """log T/O of whole words: sums over their signs."""
+        if not words:
+            return np.zeros(0)
+        a, place, word = _signs(words)
+        h, c = _longest(a, place, self.order)
+        use = place > 0
+        at, seen = _find(self.keys, h[use])
+        to, known = _find(self.contexts, c[use])
+        r = np.where(seen, self.ratio[at], np.where(known, self.unseen[to], 0.0)) if len(self.keys) else np.zeros(use.sum())
+        return np.bincount(word[use], r, len(words))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """The difference of the log-likelihoods over n and over the root of n, for each text."""
+        out = np.zeros((len(texts), 2))
+        cleaned = [_clean(x) for x in texts]
+        data = b" ".join(cleaned)
+        hashes, starts, ends = word_spans(data)
+        if not len(hashes):
+            return out
+        _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+        ratios = self.word_ratios([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        shown = np.log(1 - self.rate + self.rate * np.exp(np.clip(ratios, -50, 50)))
+        bounds = np.cumsum([len(x) + 1 for x in cleaned])
+        owner = np.searchsorted(bounds, starts, side="right")
+        n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+        total = np.bincount(owner, shown[of], len(texts))
+        out[:, 0], out[:, 1] = total / n, total / np.sqrt(n)
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.curve is None:
+            return np.zeros(len(texts))
+        *w, b = self.curve
+        return 1 / (1 + np.exp(-np.clip(self.features(texts) @ np.array(w) + b, -30, 30)))
+
+
+def fit_counts(words: list[bytes], counts: np.ndarray, order: int = 8, rate: float = 0.01) -> ToxicityModel:
+    """The models from words and their counts, two columns (toxic, ordinary)."""
+    if not words:
+        return ToxicityModel(np.empty(0, _U), np.empty(0), np.empty(0, _U), np.empty(0), order, rate)
+    a, place, word = _signs(words)
+    use = place > 0
+    top, context = _longest(a, place, order)
+    keys, first, of = np.unique(top[use], return_index=True, return_inverse=True)
+    by_class = np.stack([np.bincount(of, counts[word[use], c], len(keys)) for c in (0, 1)], axis=1)
+    at = np.flatnonzero(use)[first]
+    length = np.minimum(order, place[at] + 1)
+    # The last k signs of every longest sequence, and those but the last, for each k.
+    tails, heads = [np.zeros(len(at), _U)], []
+    h = mix(a + _U(7))
+    for k in range(1, order + 1):
+        tails.append(h[at])
+        heads.append(tails[0] if k == 1 else before[at - 1])
+        before, h = h, _longer(h, a, place)
+    # Counts from the longest sequences down: how often they occur where nothing precedes them or
+    # the order ends, and of how many different longer ones they are the tail.
+    levels: list[tuple] = []
+    above = (np.empty(0, _U), np.empty(0, np.int64))
+    for k in range(order, 0, -1):
+        whole = np.flatnonzero(length == k)
+        seq = np.concatenate((tails[k][whole], tails[k][above[1]]))
+        n = np.concatenate((by_class[whole].sum(axis=1), np.ones(len(above[1]))))
+        member = np.concatenate((whole, above[1]))
+        u, one, inverse = np.unique(seq, return_index=True, return_inverse=True)
+        above = (u, member[one])
+        levels.append((u, np.bincount(inverse, n, len(u)), heads[k - 1][above[1]], tails[k - 1][above[1]]))
+    pooled = np.zeros(len(keys))
+    p, known = np.full(1, 1.0 / (len(levels[-1][0]) + 1)), np.zeros(1, _U)
+    for k, (u, n, head, tail) in enumerate(reversed(levels), start=1):
+        p = _interpolated(n, head, p[np.searchsorted(known, tail)])[0]
+        known = u
+        whole = length == k
+        pooled[whole] = p[np.searchsorted(known, keys[whole])]
+    (toxic, contexts, left), (ordinary, _, right) = (_interpolated(by_class[:, c], context[at], pooled) for c in (0, 1))
+    return ToxicityModel(keys, np.log(toxic) - np.log(ordinary), contexts, np.log(np.maximum(left, 1e-12)) - np.log(np.maximum(right, 1e-12)), order, rate)
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> tuple[float, ...]:
+    """Logistic regression by damped Newton steps: the weights of the features and the level."""
+    scale = np.maximum(x.std(axis=0), 1e-9)
+    z = np.column_stack([x / scale, np.ones(len(x))])
+    theta = np.zeros(z.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        g = x.T @ (p - y) + ridge * theta
-        h = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-6) * np.eye(2)
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
+        g = z.T @ (p - y) + ridge * theta
+        h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(theta))
         step = np.clip(np.linalg.solve(h, g), -2, 2)
         theta -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(theta[0] / scale), float(theta[1])
-
-
-def _with_kin(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Adds the least hash of a three-word window: copies share it mostly, so training sees few of each."""
-    kin = [int(windows(w, 3).min().view(np.int64)) if len(w := _words(x or "")) else 0 for x in part.column(1).to_pylist()]
-    return pa.RecordBatch.from_arrays([*part.columns, pa.array(kin, pa.int64())], names=[*part.schema.names, "kin"])
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return (*(theta[:-1] / scale).tolist(), float(theta[-1]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct three-word sequences of each slice, with the class."""
+    """The distinct (two words before, word, class) of each slice, the words before as one hash."""
     for batch in batches:
         for part in chunks(batch):
-            u, v, w, y = [], [], [], []
+            ids, spelled, classes = [], [], []
             for text, toxic in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = _words(text) if text else np.empty(0, _U)
-                before = np.concatenate((_START, _START, words))
-                u.append(before[: len(words)])
-                v.append(before[1 : len(words) + 1])
-                w.append(words)
-                y.append(np.full(len(words), toxic, _U))
-            rows = np.unique(np.stack([np.concatenate(x) for x in (u, v, w, y)], axis=1), axis=0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(4)], names=["u", "v", "w", "y"])
-
-
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 12_000, min_count: int = 12) -> ToxicityModel:
-    """A model from labelled rows: at most about ``max_train`` of them, by hash of the key."""
-    spark = docs.sparkSession
-    hashed = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1_000_003))
+                data = _clean(text)
+                w, starts, ends = word_spans(data)
+                if not len(w):
+                    continue
+                before = np.concatenate((np.ones(2, _U), w))
+                with np.errstate(over="ignore"):
+                    history = mix(before[: len(w)] * _STEP + before[1 : len(w) + 1])
+                    ids.append(mix(history * _STEP + w) + _U(toxic))
+                spelled += [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                classes.append(np.full(len(w), toxic, np.int64))
+            if ids:
+                u, first = np.unique(np.concatenate(ids), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(spelled, pa.binary()).take(pa.array(first)), pa.array(np.concatenate(classes)[first])], names=["id", "word", "y"])
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = 12_000, order: int = 8, rate: float = 0.01) -> ToxicityModel:
+    """A model from labelled rows: all of them, or about ``max_train`` chosen by hash of the key."""
     marked = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).where("key is not null and toxic in (0, 1)").groupBy("key").agg(F.max("toxic").alias("toxic"))
-    n = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # As many ordinary rows as toxic ones are counted, so that both models are equally rich; the
-    # rows that fit the curve keep the natural mixture.
-    least = min([max_train / 2, *n.values()])
-    share = F.create_map(*[F.lit(x) for c in n for x in (c, min(1.0, least / n[c]))])[F.col("toxic")] if n else F.lit(1.0)
-    part = marked.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("key").cast("string")), F.lit(4)))
-    part = part.where(hashed < 1_000_003 * F.when(F.col("fold") > 0, share).otherwise(F.lit(min(1.0, max_train / max(1, sum(n.values()))))))
-    # ``part`` has at most about max_train rows of two numbers: its size is bounded by the parameter.
-    rows = staged(text_table(docs, key, text).join(F.broadcast(part), "key").select("key", "text", F.col("toxic").cast("long").alias("toxic"), "fold").mapInArrow(per_chunk(_with_kin), f"key {docs.schema[key].dataType.simpleString()}, text string, toxic long, fold long, kin long"), "copies")
-    rows = staged(rows.groupBy("kin").agg(F.min_by(F.struct("key", "text", "toxic", "fold"), "key").alias("r")).select("r.*"), "training")
+    n = marked.count()
+    share = min(1.0, max_train / max(1, n))
+    part = marked.where(F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1_000_003)) < F.lit(1_000_003 * share))
+    # ``part`` has about max_train rows of two numbers: its size is bounded by the parameter.
+    rows = text_table(docs, key, text).join(F.broadcast(part), "key").select("key", "text", F.col("toxic").cast("long").alias("toxic"))
+    # Folds go by the text, so exact copies fall in one fold and the curve's rows are truly unseen.
+    rows = staged(rows.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(4))), "training")
     seen, held = rows.where("fold > 0").drop("fold"), rows.where("fold = 0").drop("fold")
-    by = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    nothing = ToxicityModel(np.empty(0, _U), np.empty((0, 2)), np.empty((0, 2)), np.empty(0, _U), np.empty((0, 2)), np.zeros(2), 0.0)
-    if len(by) < 2:
-        return nothing
-    discount = max(1.0, least**0.5 * min(1.0, least / 100))  # grows as chance differences of counts do
-    min_count = min(min_count, math.ceil(2 * discount))
-    # Pairs and words count as continuations, in how many different sequences they end: a passage
-    # that many rows share counts once.
-    triples = seen.mapInArrow(_count, "u long, v long, w long, y long").distinct()
-    counted = staged(triples.groupBy("v", "w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary")), "pairs")
-    words = counted.groupBy(F.col("w").alias("k")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("a"), F.sum((F.col("ordinary") > 0).cast("long")).alias("b"))
-    words = staged(words, "words")
-    t = words.agg(F.sum("a"), F.sum("b")).first()
-    # Discounts in proportion to a class's mass: what both classes show alike backs off alike.
-    mass = {"a": t[0] or 0, "b": t[1] or 0, "toxic": t[0] or 0, "ordinary": t[1] or 0}
-    freed = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(discount * mass[c] / max(1, min(mass.values())))))
-    t = (*t[:2], *words.agg(freed("a"), freed("b")).first())
-    totals = {"tokens": np.array([t[0] or 0, t[1] or 0], float), "freed": np.array([t[2] or 0, t[3] or 0], float)}
-    get = lambda df: {c: x.to_numpy(zero_copy_only=False) for c, x in zip(df.columns, df.toArrow().combine_chunks().columns, strict=True)}
-    w = get(words.where(F.col("a") + F.col("b") >= min_count))
-    p = get(counted.where((F.col("toxic") + F.col("ordinary") >= min_count) & (F.col("v") != 1)))
-    c = get(counted.groupBy(F.col("v").alias("k")).agg(F.sum("toxic").alias("a"), F.sum("ordinary").alias("b"), freed("toxic").alias("c"), freed("ordinary").alias("d")).where(F.col("a") + F.col("b") >= min_count))
-    two = lambda x, a, b: np.stack([x[a], x[b]], axis=1).astype(float)
-    key_of = lambda x: np.ascontiguousarray(x.astype(np.int64)).view(_U)
-    model = fit_counts({"key": key_of(w["k"]), "counts": two(w, "a", "b")}, {"v": key_of(p["v"]), "w": key_of(p["w"]), "counts": two(p, "toxic", "ordinary")}, {"key": key_of(c["k"]), "counts": two(c, "a", "b"), "freed": two(c, "c", "d")}, totals, n[1] / (n[0] + n[1]), discount)
+    counted = seen.mapInArrow(_count, "id long, word binary, y long").distinct().groupBy("word").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary")).toArrow()
+    # Rows arrive in any order: sorted, so that each run sums alike.
+    counted = counted.sort_by("word")
+    words = counted.column("word").to_pylist()
+    model = fit_counts(words, np.stack([counted.column(c).to_numpy() for c in ("toxic", "ordinary")], axis=1).astype(float) if words else np.zeros((0, 2)), order, rate)
 
     def measure(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([model.evidence(x) for x in part.column(1).to_pylist()], pa.float64()), part.column(2)], names=["d", "y"])
-
-    h = get(held.mapInArrow(per_chunk(measure), "d double, y long"))
-    if len(set(h["y"].tolist())) < 2:
-        h = get(seen.mapInArrow(per_chunk(measure), "d double, y long"))
-    order = np.lexsort((h["y"], h["d"]))
-    model.curve = fit_curve(h["d"][order], h["y"][order].astype(float))
+        x = model.features(part.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), part.column(2)], names=["a", "b", "y"])
+
+    def measured(some: DataFrame) -> np.ndarray:
+        got = some.mapInArrow(per_chunk(measure), "a double, b double, y long").toArrow()
+        return np.array(sorted(zip(*(got.column(c).to_pylist() for c in ("a", "b", "y")), strict=True)), float).reshape(-1, 3)
+
+    h = measured(held)
+    if len(set(h[:, 2])) < 2:  # too few rows for a fold of their own
+        h = measured(rows.drop("fold"))
+    if len(set(h[:, 2])) == 2:
+        model.curve = fit_curve(h[:, :2], h[:, 2])
     return model
 
 
@@ -233,7 +276,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id"
 
     def score(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = part.column(1).field(text) if carry else part.column(1)
-        scores = np.array([model.score(x) for x in texts.to_pylist()])
+        scores = model.scores(texts.to_pylist())
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *([part.column(1)] if carry else [])], names=["key", "score", "predicted", *(["row"] if carry else [])])
 
     kind = docs.schema[key].dataType.simpleString()

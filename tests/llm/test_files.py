@@ -201,7 +201,7 @@ def test_pipeline_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
     model = train_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    left = {i for i, r in rows.items() if model.score(r["text"]) < 0.5}
+    left = {i for i, r in rows.items() if model.scores([r["text"]])[0] < 0.5}
     assert {r["doc_id"] for r in score_toxicity(docs, model).where("predicted = 0").collect()} == left
     from ruleloom.llm.quality import quality
 
