@@ -43,6 +43,8 @@ from .shingles import mix, word_spans
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
+_POWER = np.array([pow(int(_STEP), j, 1 << 64) for j in range(64)], _U)
+_UNDO = _U(pow(int(_STEP), -1, 1 << 64))
 _MARKS = b".,;:!?\"()[]{}|#*$%&<>/\\"
 _STRIP = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -53,29 +55,31 @@ def _clean(text: str | None) -> bytes:
 
 
 def _signs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all words, each between two blanks; places within the words; the words' numbers."""
+    """Code points (and 1, so none is 0) of all words, each between two blanks; places within the words; the words' numbers."""
     joined = b" " + b"  ".join(words) + b" "
     a = np.frombuffer(joined.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     blank = a == 32
-    first = blank & (np.cumsum(blank) % 2 == 1)
-    at = np.arange(len(a))
-    return a, at - np.maximum.accumulate(np.where(first, at, 0)), np.cumsum(first) - 1
+    first = np.flatnonzero(blank)[::2]
+    word = np.zeros(len(a), np.int32)
+    word[first[1:]] = 1
+    np.cumsum(word, out=word)
+    place = np.arange(len(a), dtype=np.int32) - first.astype(np.int32)[word]
+    return a + _U(1), place, word
 
 
-def _longer(h: np.ndarray, a: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hashes of sequences one sign longer than ``h`` has, where the word has that sign."""
-    out = np.empty_like(h)
+def _longest(a: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """Hash of the sequence of up to ``order`` signs that ends at each place: the sum of sign * BASE**(signs after it)."""
+    out = a.copy()
     with np.errstate(over="ignore"):
-        out[0], out[1:] = h[0], mix(h[:-1] * _STEP + a[1:])
-    return np.where(place > 0, out, h)
+        for j in range(1, min(order, len(a))):
+            out[j:] += np.where(place[j:] >= j, a[:-j] * _POWER[j], _U(0))
+    return out
 
 
-def _longest(a: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the sequence of up to ``order`` signs that ends at each place, and of its context."""
-    h = mix(a + _U(7))
-    for _ in range(order - 2):
-        h = _longer(h, a, place)
-    return _longer(h, a, place), np.concatenate((h[:1], h[:-1]))
+def _context(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of a sequence without its last sign."""
+    with np.errstate(over="ignore"):
+        return (h - last) * _UNDO
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +128,11 @@ class ToxicityModel:
         if not words:
             return np.zeros(0)
         a, place, word = _signs(words)
-        h, c = _longest(a, place, self.order)
         use = place > 0
-        at, seen = _find(self.keys, h[use])
-        to, known = _find(self.contexts, c[use])
-        r = np.where(seen, self.ratio[at], np.where(known, self.unseen[to], 0.0)) if len(self.keys) else np.zeros(use.sum())
+        h, a = _longest(a, place, self.order)[use], a[use]
+        at, seen = _find(self.keys, h)
+        to, known = _find(self.contexts, _context(h, a))
+        r = np.where(seen, self.ratio[at], np.where(known, self.unseen[to], 0.0)) if len(self.keys) else np.zeros(len(h))
         return np.bincount(word[use], r, len(words))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -161,19 +165,20 @@ def fit_counts(words: list[bytes], counts: np.ndarray, order: int = 8, rate: flo
     if not words:
         return ToxicityModel(np.empty(0, _U), np.empty(0), np.empty(0, _U), np.empty(0), order, rate)
     a, place, word = _signs(words)
-    use = place > 0
-    top, context = _longest(a, place, order)
-    keys, first, of = np.unique(top[use], return_index=True, return_inverse=True)
+    use = np.flatnonzero(place > 0)
+    keys, first, of = np.unique(_longest(a, place, order)[use], return_index=True, return_inverse=True)
     by_class = np.stack([np.bincount(of, counts[word[use], c], len(keys)) for c in (0, 1)], axis=1)
-    at = np.flatnonzero(use)[first]
+    at = use[first]
+    del of, use, word
     length = np.minimum(order, place[at] + 1)
-    # The last k signs of every longest sequence, and those but the last, for each k.
-    tails, heads = [np.zeros(len(at), _U)], []
-    h = mix(a + _U(7))
-    for k in range(1, order + 1):
-        tails.append(h[at])
-        heads.append(tails[0] if k == 1 else before[at - 1])
-        before, h = h, _longer(h, a, place)
+    context = _context(keys, a[at])
+    # The last k signs of every longest sequence, for each k.
+    tails = [np.zeros(len(at), _U)]
+    with np.errstate(over="ignore"):
+        for j in range(order):
+            tails.append(tails[-1] + np.where(j < length, a[np.maximum(at - j, 0)] * _POWER[j], _U(0)))
+    last = a[at]
+    del a, place
     # Counts from the longest sequences down: how often they occur where nothing precedes them or
     # the order ends, and of how many different longer ones they are the tail.
     levels: list[tuple] = []
@@ -185,7 +190,7 @@ def fit_counts(words: list[bytes], counts: np.ndarray, order: int = 8, rate: flo
         member = np.concatenate((whole, above[1]))
         u, one, inverse = np.unique(seq, return_index=True, return_inverse=True)
         above = (u, member[one])
-        levels.append((u, np.bincount(inverse, n, len(u)), heads[k - 1][above[1]], tails[k - 1][above[1]]))
+        levels.append((u, np.bincount(inverse, n, len(u)), _context(u, last[above[1]]), tails[k - 1][above[1]]))
     pooled = np.zeros(len(keys))
     p, known = np.full(1, 1.0 / (len(levels[-1][0]) + 1)), np.zeros(1, _U)
     for k, (u, n, head, tail) in enumerate(reversed(levels), start=1):
@@ -193,7 +198,7 @@ def fit_counts(words: list[bytes], counts: np.ndarray, order: int = 8, rate: flo
         known = u
         whole = length == k
         pooled[whole] = p[np.searchsorted(known, keys[whole])]
-    (toxic, contexts, left), (ordinary, _, right) = (_interpolated(by_class[:, c], context[at], pooled) for c in (0, 1))
+    (toxic, contexts, left), (ordinary, _, right) = (_interpolated(by_class[:, c], context, pooled) for c in (0, 1))
     return ToxicityModel(keys, np.log(toxic) - np.log(ordinary), contexts, np.log(np.maximum(left, 1e-12)) - np.log(np.maximum(right, 1e-12)), order, rate)
 
 
