@@ -3,21 +3,29 @@
 **Encoding.**  A prefix of a piece has exactly one last token: the token ``t``
 that ends there and may follow the last token ``u`` of what precedes it, that is,
 for which the merges turn ``u + t`` into ``[u, t]``.  A transducer state holds every
-place where a token may still be open: the bytes since that place (a proper
-prefix of some token) and the tokens up to it.  Reading a byte extends all open
-tokens, closes the one that fits and emits the tokens on which all open places
-agree, so the lookahead never exceeds the longest token.  States and
-transitions are made when first met and kept, up to ``max_states``; where there is
-none, the open places are read on side by side.  Pieces and their tokens are
-remembered, up to ``max_pieces``, then anew.
+place where a token may still be open: the node of the token trie reached since
+that place, and the last token before it.  Reading a byte extends all open tokens,
+closes the one that fits and outputs it, the last token so far.  Which outputs
+stand is known as soon as no earlier place is open, so at most the longest token's
+length later; the tokens of a piece are read off its outputs from the end.
+Every byte is read by a transition; transitions are made when first met and kept.
+Beyond ``max_moves`` the older half is given up, with the states that no transition
+needs any more, and made anew when met.
+Pieces and their tokens are remembered in two generations of ``max_pieces``: the older
+one goes when the younger is full, and what is met again moves to the younger.
+The bounds limit memory only; results don't depend on them.
+
+Whether ``t`` may follow ``u`` shows where they meet: while merging, the last part of ``u``
+and the first part of ``t`` grow in the order of their ranks, and a merge across the
+border takes place if its rank comes before the next one on either side.
 
 **Decoding.**  A UTF-8 automaton (RFC 3629) walks the bytes token by token; its
-transition for a whole token is computed when first met.  Bytes come out
-unchanged; text comes out as soon as characters are complete, with U+FFFD for
-ill-formed parts at the end of a stream.
+transition for a whole token is computed when first met.  Bytes and text come out
+as soon as characters are complete: bytes unchanged, text with U+FFFD for ill-formed parts.
 
 Defined cases: null and empty texts have no tokens; lone surrogates, which
-Spark strings cannot hold, are replaced; repeated rows stay repeated.
+Spark strings cannot hold, are replaced; repeated rows stay repeated; null keys stay; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -40,131 +49,184 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
+_NEVER = 1 << 60
+_LAST = (1 << 20) - 1
+
+
 class Transducer:
     """Pieces to tokens by rank merges."""
 
-    def __init__(self, ranks: dict[bytes, int], *, max_states: int = 60_000, max_pieces: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], *, max_moves: int = 600_000, max_pieces: int = 300_000, max_pairs: int = 400_000):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
-        self.max_states, self.max_pieces = max_states, max_pieces
+        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.max_moves, self.max_pieces, self.max_pairs = max_moves, max_pieces, max_pairs
+        # The token trie: node * 256 + byte to node, and each node's token (-1: none) and whether it goes on.
+        self.child: dict[int, int] = {}
+        self.token_at, self.goes_on = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.goes_on[node] = True
+                nxt = self.child.get(node << 8 | byte)
+                if nxt is None:
+                    nxt = self.child[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.goes_on.append(False)
+                node = nxt
+            self.token_at[node] = rank
+        self.edges: dict[int, tuple | None] = {}
         self.follows: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        start = ((b"", (-1,)),)
-        self.states = [start]
-        self.numbers = {start: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Tokens by the merges themselves, lowest rank first."""
-        get, none = self.ranks.get, 1 << 60
+        self.older: dict[str, tuple[int, ...]] = {}
+        # A place is node << 20 | last token + 1.  States have multiples of 256 as numbers, so that a state and
+        # a byte make one key; a transition is the next state's number << 20 | output token.
+        self.states: dict[int, tuple[int, ...]] = {0: (0,)}
+        self.numbers = {(0,): 0}
+        self.moves: dict[int, int] = {}
+        self.newest = 0
+        self.heads: dict[bytes, tuple[int, list[int]]] = {}
+
+    def merge(self, piece: bytes, least_parts: int = 1) -> list[bytes]:
+        """Parts by the merges themselves, lowest rank first, until ``least_parts`` are left."""
+        get = self.ranks.get
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        ranks = [get(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
-        while ranks and (least := min(ranks)) < none:
+        ranks = [get(parts[i] + parts[i + 1], _NEVER) for i in range(len(parts) - 1)]
+        while len(parts) > least_parts and (least := min(ranks)) < _NEVER:
             at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
             if at:
-                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+                ranks[at - 1] = get(parts[at - 1] + parts[at], _NEVER)
             if at < len(ranks):
-                ranks[at] = get(parts[at] + parts[at + 1], none)
-        return [self.ranks[p] for p in parts]
+                ranks[at] = get(parts[at] + parts[at + 1], _NEVER)
+        return parts
+
+    def _edges(self, t: int) -> tuple | None:
+        """What the first and the last part of a token have been while it was merged, as (bytes, rank) from one byte on.
+
+        None where the token's merges don't come in the order of their ranks.
+        """
+        if t in self.edges:
+            return self.edges[t]
+        token = self.tokens[t]
+        if len(token) == 1:
+            out = (((token, -1),), ((token, -1),))
+        else:
+            parts = self.merge(token, 2)
+            halves = [self._edges(self.ranks[p]) for p in parts] if len(parts) == 2 else [None]
+            if None in halves or any(len(p) > 1 and self.ranks[p] >= t for p in parts):
+                out = None
+            else:
+                out = ((*halves[0][0], (token, t)), (*halves[1][1], (token, t)))
+        self.edges[t] = out
+        return out
 
     def may_follow(self, u: int, t: int) -> bool:
         """Whether the merges of both tokens' bytes end in these two (-1: nothing precedes)."""
         key = (u << 20) + t
         known = self.follows.get(key)
         if known is None:
-            known = self.follows[key] = self.merge(self.tokens[t]) == [t] if u < 0 else self.merge(self.tokens[u] + self.tokens[t]) == [u, t]
+            if len(self.follows) >= self.max_pairs:
+                self.follows = dict(islice(self.follows.items(), self.max_pairs // 2, None))
+            known = self.follows[key] = self._border_holds(u, t)
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """A transition: the next state's number and the tokens it emits."""
-        b = bytes((byte,))
-        open_, done = [], None
-        for partial, path in self.states[state]:
-            longer = partial + b
-            t = self.ranks.get(longer)
-            if done is None and t is not None and self.may_follow(path[-1], t):
-                done = (*path, t)
-            if longer in self.prefixes:
-                open_.append((longer, path))
-        open_.append((b"", done))
-        first, shared = open_[0][1], min(len(p) for _, p in open_)
-        for _, path in open_[1:]:
-            n = 0
-            while n < shared and path[n] == first[n]:
-                n += 1
-            shared = n
-        emitted = first[1:shared]
-        nxt = tuple((partial, path[shared - 1 :]) for partial, path in open_)
-        number = self.numbers.get(nxt)
+    def _border_holds(self, u: int, t: int) -> bool:
+        if u < 0:
+            return len(self.merge(self.tokens[t])) == 1
+        left, right = self._edges(u), self._edges(t)
+        if left is None or right is None:
+            return self.merge(self.tokens[u] + self.tokens[t]) == [self.tokens[u], self.tokens[t]]
+        left, right, get, i, j = left[1], right[0], self.ranks.get, 0, 0
+        while True:
+            across = get(left[i][0] + right[j][0], _NEVER)
+            before = left[i + 1][1] if i + 1 < len(left) else _NEVER
+            after = right[j + 1][1] if j + 1 < len(right) else _NEVER
+            # Equal ranks are merged from the left.
+            if across < before and across <= after:
+                return False
+            if before == after == _NEVER:
+                return True
+            if before <= after:
+                i += 1
+            else:
+                j += 1
+
+    def _move(self, state: int, byte: int) -> int:
+        """A new transition: the next state's number and the last token so far."""
+        child, token_at, goes_on, follows, places, last = self.child.get, self.token_at, self.goes_on, self.follows.get, [], -1
+        for place in self.states[state]:
+            node = child(place >> 20 << 8 | byte)
+            if node is None:
+                continue
+            before = place & _LAST
+            if last < 0 and (t := token_at[node]) >= 0:
+                fits = follows((before - 1 << 20) + t)
+                if self.may_follow(before - 1, t) if fits is None else fits:
+                    last = t
+            if goes_on[node]:
+                places.append(node << 20 | before)
+        if last < 0:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        places.append(last + 1)
+        key = tuple(places)
+        number = self.numbers.get(key)
         if number is None:
-            number = self.numbers[nxt] = len(self.states)
-            self.states.append(nxt)
-            self.moves.append({})
-        out = self.moves[state][byte] = (number, emitted)
+            self.newest = number = self.newest + 256
+            self.numbers[key] = number
+            self.states[number] = key
+        self.moves[state | byte] = out = number << 20 | last
         return out
 
-    def run(self, piece: bytes) -> tuple[int, ...]:
-        """The tokens of one piece.
+    def _give_up_half(self) -> None:
+        """Drops the older half of the transitions and the states that only they met."""
+        self.moves = dict(islice(self.moves.items(), len(self.moves) // 2, None))
+        used = {0, *(key & ~255 for key in self.moves), *(move >> 20 for move in self.moves.values())}
+        self.states = {number: places for number, places in self.states.items() if number in used}
+        self.numbers = {places: number for number, places in self.states.items()}
+        self.heads = {}
 
-        Known transitions are followed; the first unknown one is made and kept, and what is
-        left of the piece is read by all its open places side by side, without making states.
-        """
+    def run(self, piece: bytes) -> tuple[int, ...]:
+        """The tokens of one piece: a token itself, or what the transducer emits for its bytes."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        state, out, moves, n = 0, [], self.moves, 0
-        for byte in piece:
-            move = moves[state].get(byte)
-            fresh = move is None
-            if fresh:
-                if len(moves) >= self.max_states:
-                    break
-                move = self._move(state, byte)
-            n += 1
-            state = move[0]
-            if move[1]:
-                out += move[1]
-            if fresh:
-                break
-        places = self.states[state]
-        if n < len(piece):
-            places = self._side_by_side(places, piece, n)
-        out += places[-1][1][1:]  # the place where no token is open comes last
-        return tuple(out)
-
-    def _side_by_side(self, places, piece: bytes, n: int):
-        """The open places after the rest of a piece."""
-        rank, prefixes, follows = self.ranks.get, self.prefixes, self.follows
-        for i in range(n, len(piece)):
-            b = piece[i : i + 1]
-            open_, done = [], None
-            for partial, path in places:
-                longer = partial + b
-                if done is None:
-                    t = rank(longer)
-                    if t is not None:
-                        u = path[-1]
-                        ok = follows.get((u << 20) + t)
-                        if ok is None:
-                            ok = self.may_follow(u, t)
-                        if ok:
-                            done = (*path, t)
-                if longer in prefixes:
-                    open_.append((longer, path))
-            open_.append((b"", done))
-            places = open_
-        return places
+        if len(self.moves) >= self.max_moves:
+            self._give_up_half()
+        head = piece[:4]
+        state, outputs = self.heads.get(head) or self._read(0, head)
+        if len(piece) > 4:
+            outputs = outputs + self._read(state, piece[4:])[1]
+        out, at, length = [], len(piece), self.length
+        while at:
+            out.append(t := outputs[at - 1])
+            at -= length[t]
+        return tuple(out[::-1])
+
+    def _read(self, state: int, data: bytes) -> tuple[int, list[int]]:
+        """The state after these bytes and the output of each; from the start state, four bytes at once when met again."""
+        outputs, get, at = [], self.moves.get, state
+        for byte in data:
+            move = get(at | byte)
+            if move is None:
+                move = self._move(at, byte)
+            at = move >> 20
+            outputs.append(move & _LAST)
+        if not state:
+            self.heads[data] = at, outputs
+        return at, outputs
 
     def piece(self, text: str) -> tuple[int, ...]:
+        """The tokens of a piece that the younger generation may not have."""
         known = self.pieces.get(text)
         if known is None:
-            if len(self.pieces) >= self.max_pieces:
-                self.pieces.clear()
-            known = self.run(text.encode("utf-8", "replace"))
+            known = self.older.get(text)
+            if known is None:
+                known = self.run(text.encode("utf-8", "replace"))
             if len(text) < 40:
+                if len(self.pieces) >= self.max_pieces:
+                    self.older, self.pieces = self.pieces, {}
                 self.pieces[text] = known
         return known
 
@@ -214,36 +276,45 @@ class StreamDecoder:
         return out
 
     def feed(self, ids: Iterable[int]) -> str:
-        """The text that these ids complete.
+        """The text that these ids complete."""
+        return self.feed_bytes(ids).decode("utf-8", "replace")
+
+    def feed_bytes(self, ids: Iterable[int]) -> bytes:
+        """The bytes up to the last character that these ids complete.
 
         Between characters, runs of ids whose tokens are whole characters are read at once.
         """
         ids = ids if isinstance(ids, list) else list(ids)
         ready, token, whole = [], self.tokens.__getitem__, self.whole
-        for at in range(0, len(ids), 32):
-            part = ids[at : at + 32]
-            ready.append(b"".join(map(token, part)).decode("utf-8") if self.state == _ACCEPT and whole.issuperset(part) else self._walk(part))
-        return "".join(ready)
+        for at in range(0, len(ids), 64):
+            part = ids[at : at + 64]
+            if self.state == _ACCEPT and whole.issuperset(part):
+                ready += map(token, part)
+            else:
+                ready += self._walk(part)
+        return b"".join(ready)
 
-    def _walk(self, ids: list[int]) -> str:
-        ready, tokens, moves = [], self.tokens, self.moves
+    def _walk(self, ids: list[int]) -> Iterator[bytes]:
+        tokens, moves = self.tokens, self.moves
+        whole = self.whole
         for token in ids:
+            if self.state == _ACCEPT and token in whole:
+                yield tokens[token]
+                continue
             state, end = moves.get((self.state, token)) or self._move(token)
             if state == _REJECT:
-                # What is open can't become a character any more: settle it as a whole-text decoder would.
-                whole = self.open + tokens[token]
-                text = whole.decode("utf-8", "replace")
-                tail = self._tail(whole)
-                ready.append(whole[: len(whole) - len(tail)].decode("utf-8", "replace") if tail else text)
-                self.open, self.state = tail, self._state(tail)
+                # What is open can't become a character any more: let it go, but for an end that may begin one.
+                data = self.open + tokens[token]
+                self.open = self._tail(data)
+                self.state = self._state(self.open)
+                yield data[: len(data) - len(self.open)]
                 continue
             if end >= 0:
-                ready.append((self.open + tokens[token][:end]).decode("utf-8"))
+                yield self.open + tokens[token][:end]
                 self.open = tokens[token][end:]
             else:
                 self.open += tokens[token]
             self.state = state
-        return "".join(ready)
 
     @staticmethod
     def _state(data: bytes) -> int:
@@ -261,7 +332,11 @@ class StreamDecoder:
         return b""
 
     def finish(self) -> str:
-        out = self.open.decode("utf-8", "replace")
+        return self.finish_bytes().decode("utf-8", "replace")
+
+    def finish_bytes(self) -> bytes:
+        """What is still open at the end of the stream."""
+        out = self.open
         self.state, self.open = _ACCEPT, b""
         return out
 
@@ -291,13 +366,14 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         if text:
-            pieces, one = self.transducer.pieces, self.transducer.piece
+            get, one = self.transducer.pieces.get, self.transducer.piece
             for p in self.find(text):
-                out += pieces.get(p) or one(p)
+                out += get(p) or one(p)
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.transducer.tokens.__getitem__, ids))
+        decoder = StreamDecoder(self.transducer.tokens, self.moves, self.whole)
+        return decoder.feed_bytes(ids) + decoder.finish_bytes()
 
     def decode(self, ids: Iterable[int]) -> str:
         decoder = StreamDecoder(self.transducer.tokens, self.moves, self.whole)
@@ -343,7 +419,7 @@ def digest_table(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id
             ids = codec.encode(x)
             n.append(len(ids))
             coded.append(hashlib.sha256(" ".join(map(codec.names.__getitem__, ids)).encode()).hexdigest())
-            decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+            decoded.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return text_table(docs, key, text).mapInArrow(per_chunk(digest), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

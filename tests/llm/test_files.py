@@ -48,9 +48,39 @@ def test_bpe_as_the_library(texts):
 
 def test_few_states_change_nothing(texts):
     ranks = read_ranks(RANKS)
-    small, large = Transducer(ranks, max_states=20, max_pieces=10), Transducer(ranks)
+    small, large = Transducer(ranks, max_moves=20, max_pieces=10, max_pairs=10), Transducer(ranks)
     for w in {w for _, t in texts[:20] for w in t.split()}:
-        assert small.piece(w) == large.piece(w) == tuple(large.merge(w.encode()))
+        assert small.piece(w) == large.piece(w) == tuple(ranks[p] for p in large.merge(w.encode()))
+        assert len(small.moves) < 20 + len(w.encode()) and len(small.pieces) <= 10
+
+
+def test_every_byte_is_read_by_a_transition(texts):
+    """The transitions left behind spell every piece, and merging is only asked about single tokens."""
+    machine = Transducer(read_ranks(RANKS))
+    asked, merge = [], machine.merge
+    machine.merge = lambda piece, least_parts=1: asked.append(piece) or merge(piece, least_parts)
+    pieces = {w.encode() for _, t in texts for w in t.split()} | {b"x" * 500}
+    tokens = {w: machine.run(w) for w in pieces}
+    read = 0
+    for w, ids in tokens.items():
+        assert b"".join(map(machine.tokens.__getitem__, ids)) == w
+        if w not in machine.ranks:
+            state = 0
+            for byte in w:
+                state = machine.moves[state | byte] >> 20
+                read += 1
+    assert read > 10_000 and all(p in machine.ranks for p in asked)
+
+
+def test_border_rule_is_what_merging_gives():
+    machine = Transducer(read_ranks(RANKS))
+    r = random.Random(3)
+    words = [b" the", b"ing", b"ation", b"th", b"e", b"s", b"er", b"o", b" un", b"lock", b"ed", b"n", b"t"]
+    pairs = [(machine.ranks[u], machine.ranks[t]) for u in words for t in words] + [(r.randrange(50256), r.randrange(50256)) for _ in range(5000)]
+    for u, t in pairs:
+        left, right = machine.tokens[u], machine.tokens[t]
+        assert machine.may_follow(u, t) == (machine.merge(left + right) == [left, right]), (left, right)
+    assert sum(machine.may_follow(u, t) for u, t in pairs) not in (0, len(pairs))
 
 
 def test_stream_decoding():
@@ -60,7 +90,8 @@ def test_stream_decoding():
         ids = [r.randrange(50256) for _ in range(r.randint(0, 40))]
         cuts = sorted(r.randint(0, len(ids)) for _ in range(3))
         parts = [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
-        assert "".join(codec.stream(parts)) == codec.decode_bytes(ids).decode("utf-8", "replace")
+        whole = b"".join(codec.transducer.tokens[i] for i in ids)
+        assert codec.decode_bytes(ids) == whole and "".join(codec.stream(parts)) == whole.decode("utf-8", "replace")
 
 
 def test_bpe_tables(spark):
