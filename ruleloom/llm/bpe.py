@@ -179,10 +179,10 @@ class Transducer:
         self.moves[state | byte] = out = number << 20 | last
         return out
 
-    def _give_up_half(self) -> None:
-        """Drops the older half of the transitions and the states that only they met."""
+    def _give_up_half(self, now: int) -> None:
+        """Drops the older half of the transitions and the states that only they met, but not the state ``now``."""
         self.moves = dict(islice(self.moves.items(), len(self.moves) // 2, None))
-        used = {0, *(key & ~255 for key in self.moves), *(move >> 20 for move in self.moves.values())}
+        used = {0, now, *(key & ~255 for key in self.moves), *(move >> 20 for move in self.moves.values())}
         self.states = {number: places for number, places in self.states.items() if number in used}
         self.numbers = {places: number for number, places in self.states.items()}
         self.heads = {}
@@ -193,11 +193,16 @@ class Transducer:
         if whole is not None:
             return (whole,)
         if len(self.moves) >= self.max_moves:
-            self._give_up_half()
+            self._give_up_half(0)
         head = piece[:4]
         state, outputs = self.heads.get(head) or self._read(0, head)
         if len(piece) > 4:
-            outputs = outputs + self._read(state, piece[4:])[1]
+            outputs = outputs[:]
+            for at in range(4, len(piece), 1 << 16):
+                if len(self.moves) >= self.max_moves:
+                    self._give_up_half(state)
+                state, more = self._read(state, piece[at : at + (1 << 16)])
+                outputs += more
         out, at, length = [], len(piece), self.length
         while at:
             out.append(t := outputs[at - 1])
