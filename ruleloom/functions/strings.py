@@ -7,8 +7,9 @@ side gives null.  Shingle functions first make each run of white space one space
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -191,83 +192,148 @@ def jaro_winkler_py(a: str, b: str, threshold: float = 0.7) -> float:
 
 
 def ngram_py(a: str, b: str, n: int = 2, compat: bool = False) -> float:
-    """Normalised n-gram distance (Kondrak 2005); ``compat``: short strings give the share of matches instead."""
+    """Normalised n-gram distance (Kondrak 2005); ``compat``: short strings give the share of matches instead.
+
+    Every character stands for the window of n that ends with it.  Windows at the start are filled
+    with None, which no text holds; where both have a filler, that place doesn't count.
+    """
     if a == b:
         return 0.0
     if not a or not b:
         return 1.0
-    if len(a) < n or len(b) < n:
+    if min(len(a), len(b)) < n:
         share = sum(x == y for x, y in zip(a, b, strict=False)) / max(len(a), len(b))
         return share if compat else 1.0 - share
-    fill = "\n" * (n - 1)
-    x, y = fill + a, fill + b
-    row = [float(j) for j in range(len(b) + 1)]
-    for i in range(1, len(a) + 1):
-        g = x[i - 1 : i - 1 + n]
-        new = [float(i)]
-        for j in range(1, len(b) + 1):
-            h = y[j - 1 : j - 1 + n]
-            cost, width = 0, n
-            for p, q in zip(g, h, strict=True):
-                if p != q:
-                    cost += 1
-                elif p == "\n":
-                    width -= 1
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + cost / width))
-        row = new
-    return row[-1] / max(len(a), len(b))
 
+    def windows(text: str) -> list[list[str | None]]:
+        filled = [*[None] * (n - 1), *text]
+        return [filled[i : i + n] for i in range(len(text))]
 
-def sift4_py(a: str, b: str, max_offset: int = 5, max_distance: int = 0) -> float:
-    """Sift4, general form: common substrings with a bounded offset, less local transpositions."""
-    if not a or not b:
-        return float(max(len(a), len(b)))
-    i = j = common = local = swapped = 0
-    offsets: list[list] = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            local += 1
-            crossed = False
-            k = 0
-            while k < len(offsets):
-                o = offsets[k]
-                if i <= o[0] or j <= o[1]:
-                    crossed = abs(j - i) >= abs(o[1] - o[0])
-                    if crossed:
-                        swapped += 1
-                    elif not o[2]:
-                        o[2] = True
-                        swapped += 1
-                    break
-                if i > o[1] and j > o[0]:
-                    offsets.pop(k)
-                else:
-                    k += 1
-            offsets.append([i, j, crossed])
-        else:
-            common += local
-            local = 0
-            if i != j:
-                i = j = min(i, j)
-            for step in range(max_offset):
-                if not (i + step < len(a) or j + step < len(b)):
-                    break
-                if i + step < len(a) and a[i + step] == b[j]:
-                    i, j = i + step - 1, j - 1
-                    break
-                if j + step < len(b) and a[i] == b[j + step]:
-                    i, j = i - 1, j + step - 1
-                    break
-        i, j = i + 1, j + 1
-        if max_distance:
-            now = max(i, j) - common + swapped
-            if now >= max_distance:
-                return float(round(now))
+    def unlike(g: list, h: list) -> float:
+        counted = [(x, y) for x, y in zip(g, h, strict=True) if x is not None or y is not None]
+        return sum(x != y for x, y in counted) / len(counted)
+
+    others = windows(b)
+    reached = [float(j) for j in range(len(b) + 1)]
+    for i, g in enumerate(windows(a)):
+        replaced = [reached[j] + unlike(g, h) for j, h in enumerate(others)]
+        removed = [x + 1 for x in reached[1:]]
+        reached = [i + 1.0]
+        for x in map(min, replaced, removed):
+            reached.append(min(x, reached[-1] + 1))
+    return reached[-1] / max(len(a), len(b))
+
+
+# Sift4 (published by Siderite Zackwehdex): first a scan pairs up equal tokens, then the pairs that
+# cross each other are counted, then runs, crossings and lengths make the distance.
+
+
+def _sift_scan(a: Sequence, b: Sequence, reach: int, same: Callable[[object, object], bool]) -> Iterator[tuple[int, int, bool]]:
+    """The pairs of places compared, and whether their tokens are equal.
+
+    Equal tokens are passed together.  After unequal ones, and where one side ends, both sides go on from
+    the smaller place; the nearest token within ``reach`` that equals the other side's is gone to.
+    """
+    i = j = 0
+    while True:
         if i >= len(a) or j >= len(b):
-            common += local
-            local = 0
             i = j = min(i, j)
-    return float(round(max(len(a), len(b)) - common - local + swapped))
+            if i >= min(len(a), len(b)):
+                return
+        equal = same(a[i], b[j])
+        yield i, j, equal
+        if equal:
+            i, j = i + 1, j + 1
+            continue
+        i = j = min(i, j)
+        for step in range(reach):
+            if i + step < len(a) and same(a[i + step], b[j]):
+                i += step
+                break
+            if j + step < len(b) and same(a[i], b[j + step]):
+                j += step
+                break
+        else:
+            i, j = i + 1, j + 1
+
+
+def _sift_crossings(pairs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The pairs that stand against an earlier one's order, each told once.
+
+    Of two that cross, the one with the wider gap between its places is out of order.
+    """
+    open_: list[tuple[int, int, list[bool]]] = []
+    for i, j in pairs:
+        told, left = [False], []
+        for at, (p, q, before) in enumerate(open_):
+            if i <= p or j <= q:
+                late = abs(i - j) >= abs(p - q)
+                if late or not before[0]:
+                    (told if late else before)[0] = True
+                    yield i, j
+                left += open_[at:]
+                break
+            if i <= q or j <= p:  # else nothing to come can cross it
+                left.append((p, q, before))
+        open_ = [*left, (i, j, told)]
+
+
+def sift_words(text: str) -> list[str]:
+    return text.split()
+
+
+def sift_ngrams(n: int) -> Callable[[str], list[str]]:
+    return lambda text: [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
+def sift_letter_counts(text: str) -> list[int]:
+    low = text.lower()
+    return [low.count(x) for x in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def sift_alike(x: str, y: str) -> float:
+    """Likeness of two tokens by the distance itself."""
+    return 1.0 - sift4_py(x, y) / max(len(x), len(y), 1)
+
+
+def sift_longer_cost(i: int, j: int) -> float:
+    """A crossing costs more the farther it goes."""
+    return 1.0 + abs(i - j) / 9
+
+
+def sift4_py(
+    a: str,
+    b: str,
+    max_offset: int = 5,
+    max_distance: int = 0,
+    tokens: Callable[[str], Sequence] = list,
+    same: Callable[[object, object], bool] = lambda x, y: x == y,
+    weight: Callable[[object, object], float] = lambda x, y: 1.0,
+    run_value: Callable[[float], float] = lambda n: n,
+    crossing_cost: Callable[[int, int], float] = lambda i, j: 1.0,
+    kept: Callable[[float, float], float] = lambda runs, crossings: runs - crossings,
+) -> float:
+    """Sift4: the longer side's length less the common runs, plus the crossings.
+
+    ``max_distance`` (0: none) cuts off: distances from there on are reported as ``max_distance``.
+    The callables are the general form: how to cut tokens, which are the same, what an equal pair, a
+    run of them and a crossing are worth, and what is kept of runs after crossings.
+    """
+    x, y = tokens(a), tokens(b)
+    longest = max(len(x), len(y))
+    if not x or not y:
+        return float(longest)
+    runs, run, last, pairs = 0.0, 0.0, None, []
+    for i, j, equal in _sift_scan(x, y, max_offset, same):
+        if last != (i - 1, j - 1) or not equal:
+            runs, run = runs + run_value(run), 0.0
+        if equal:
+            run += weight(x[i], y[j])
+            pairs.append((i, j))
+            last = (i, j)
+    crossed = sum(crossing_cost(i, j) for i, j in _sift_crossings(pairs))
+    out = float(round(longest - kept(runs + run_value(run), crossed)))
+    return min(out, float(max_distance)) if max_distance else out
 
 
 def _udf(kernel: Callable[..., float], **fixed):
@@ -311,11 +377,28 @@ def sift4(a: Column, b: Column, max_offset: int = 5) -> Column:
     return _udf(sift4_py, max_offset=max_offset)(a, b)
 
 
+def _edit_kernels(a: pd.Series, b: pd.Series) -> pd.Series:
+    """All dynamic-programming measures of a pair at once."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        common, longest = lcs_length_py(x, y), max(len(x), len(y), 1)
+        out.append([damerau_py(x, y), osa_py(x, y), jaro_winkler_py(x, y), float(len(x) + len(y) - 2 * common), 1.0 - common / longest, ngram_py(x, y), sift4_py(x, y)])
+    return pd.Series(out)
+
+
 def similarity_vector(a: Column, b: Column) -> Column:
     """Sixteen measures of a pair; zeros if either side is null or empty."""
     longest = F.greatest(F.length(a), F.length(b), F.lit(1))
     lev = F.levenshtein(a, b) / longest
-    parts = [F.levenshtein(a, b).cast("double"), lev, 1.0 - lev, damerau(a, b), optimal_string_alignment(a, b), jaro_winkler(a, b), 1.0 - jaro_winkler(a, b), lcs_distance(a, b), metric_lcs(a, b), ngram_distance(a, b), qgram_distance(a, b), cosine(a, b, 2), jaccard(a, b, 2), sorensen_dice(a, b, 2), overlap_coefficient(a, b, 2), sift4(a, b)]
+    # Only unequal, non-empty pairs are worth sending to Python; equal ones have fixed values.
+    work = a.isNotNull() & b.isNotNull() & (F.length(a) > 0) & (F.length(b) > 0) & (a != b)
+    known = F.pandas_udf(_edit_kernels, "array<double>")(F.when(work, a), F.when(work, b))
+    same = F.array(*[F.lit(x) for x in (0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)])
+    k = F.coalesce(known, same)
+    parts = [F.levenshtein(a, b).cast("double"), lev, 1.0 - lev, k[0], k[1], k[2], 1.0 - k[2], k[3], k[4], k[5], qgram_distance(a, b), cosine(a, b, 2), jaccard(a, b, 2), sorensen_dice(a, b, 2), overlap_coefficient(a, b, 2), k[6]]
     empty = a.isNull() | b.isNull() | (F.length(a) == 0) | (F.length(b) == 0)
     return F.when(empty, F.array_repeat(F.lit(0.0), len(parts))).otherwise(F.array(*[F.coalesce(p.cast("double"), F.lit(0.0)) for p in parts]))
 
@@ -380,7 +463,7 @@ def letter_digit_runs(c: Column, longest: int = 8) -> Column:
 
 def before_keyword(c: Column, keyword: str) -> Column:
     """The letters and digits right before a keyword."""
-    return F.regexp_extract(c, rf"([0-9A-Za-z]+){keyword}", 1)
+    return F.regexp_extract(c, rf"([0-9A-Za-z]+){re.escape(keyword)}", 1)
 
 
 def trailing_alnum(c: Column) -> Column:

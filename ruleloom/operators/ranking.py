@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import math
 
 import numpy as np
@@ -39,7 +41,7 @@ def frequent_words(df: DataFrame, text: str, k: int) -> DataFrame:
 def words_after_alnum(df: DataFrame, text: str, words: list[str], ratio: float) -> DataFrame:
     """Words that a digit or letter precedes directly in at least ``ratio`` of the rows that hold them."""
     t = F.col(text)
-    tall = df.select(F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.contains(t, F.lit(w)).alias("has"), t.rlike(rf"[0-9A-Za-z]{w}").alias("led")) for w in words])))
+    tall = df.select(F.inline(F.array(*[F.struct(F.lit(w).alias("word"), F.contains(t, F.lit(w)).alias("has"), t.rlike(rf"[0-9A-Za-z]{re.escape(w)}").alias("led")) for w in words])))
     return tall.where("has").groupBy("word").agg((F.count_if("led") / F.count("*")).alias("ratio")).where(F.col("ratio") >= ratio)
 
 

@@ -46,6 +46,65 @@ def test_kernels():
         assert 0 <= S.ngram_py(a, b) <= 1 and 0 <= S.jaro_winkler_py(a, b) <= 1
 
 
+def test_sift4_values_and_parts():
+    assert S.sift4_py("This is the first string", "And this is another string", 5) == 11
+    assert S.sift4_py("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Amet Lorm ispum dolor sit amet, consetetur adixxxpiscing elit.", 10) == 12
+    # No reach: only places in step are compared; a swap of neighbours is one crossing.
+    assert S.sift4_py("abcd", "xbcy", 0) == 2 and S.sift4_py("abcd", "acbd") == 1
+    assert S.sift4_py("abcdefgh", "zzzzzzzz", max_distance=3) == 3 and S.sift4_py("ab", "ab", max_distance=3) == 0
+    assert S.sift4_py("one two three", "one three", tokens=S.sift_words) == 1 and S.sift_ngrams(2)("abc") == ["ab", "bc"]
+    assert S.sift4_py("listen", "silent", tokens=S.sift_letter_counts) == 0
+    assert S.sift4_py("one twoo", "one two", tokens=S.sift_words, same=lambda x, y: S.sift_alike(x, y) > 0.7) == 0
+    assert S.sift4_py("abcd", "acbd", crossing_cost=S.sift_longer_cost) == 1 and S.sift4_py("aab", "aab", run_value=lambda n: n / 2) == 2
+
+
+def plain_ngram(a, b, n):
+    """The recursion of the definition, with windows over an extended alphabet."""
+    from functools import lru_cache
+
+    x, y = [None] * (n - 1) + list(a), [None] * (n - 1) + list(b)
+
+    def cost(i, j):
+        g, h = x[i : i + n], y[j : j + n]
+        real = [k for k in range(n) if not (g[k] is None and h[k] is None)]
+        return sum(g[k] != h[k] for k in real) / len(real)
+
+    @lru_cache(None)
+    def d(i, j):
+        return i + j if not i or not j else min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + cost(i - 1, j - 1))
+
+    return d(len(a), len(b)) / max(len(a), len(b))
+
+
+def test_ngram_distance_takes_newlines_as_characters():
+    r = random.Random(8)
+    for n in (2, 3):
+        for _ in range(200):
+            a, b = ("".join(r.choice("ab\n") for _ in range(r.randint(n, 7))) for _ in "12")
+            assert S.ngram_py(a, b, n) == pytest.approx(0 if a == b else plain_ngram(a, b, n))
+
+
+def test_words_in_patterns_are_taken_literally(spark):
+    from ruleloom.operators.ranking import words_after_alnum
+
+    df = spark.createDataFrame([("ab(c) x",), ("a.b 7.b",)], "t string")
+    assert [r[0] for r in df.select(S.before_keyword(F.col("t"), "(c)")).collect()] == ["ab", ""]
+    got = {r["word"]: r["ratio"] for r in words_after_alnum(df, "t", [".b", "(c)"], 0.0).collect()}
+    assert got == {".b": 1.0, "(c)": 1.0}
+
+
+def test_similarity_vector_takes_each_measure(spark):
+    a, b = F.col("a"), F.col("b")
+    pairs = [("kitten", "sitting"), ("same", "same"), ("ab", "x"), ("", "x"), (None, "x")]
+    for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", S.similarity_vector(a, b).alias("v")).collect():
+        if not r["a"]:
+            assert r["v"] == [0.0] * 16
+            continue
+        x, y = r["a"], r["b"]
+        w = S.jaro_winkler_py(x, y)
+        assert r["v"][3:10] == pytest.approx([S.damerau_py(x, y), S.osa_py(x, y), w, 1 - w, S.lcs_distance_py(x, y), S.metric_lcs_py(x, y), S.ngram_py(x, y)]) and r["v"][15] == S.sift4_py(x, y)
+
+
 def test_columns(spark):
     df = spark.createDataFrame(PAIRS, "a string, b string")
     a, b = F.col("a"), F.col("b")
