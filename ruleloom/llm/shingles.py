@@ -87,7 +87,12 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     """The distinct shingles of a text, ascending."""
     if not text:
         return np.empty(0, _U)
-    out = windows(word_hashes(text.encode("utf-8", "surrogatepass")), k)
+    return window_set(word_hashes(text.encode("utf-8", "surrogatepass")), k)
+
+
+def window_set(words: np.ndarray, k: int) -> np.ndarray:
+    """The distinct hashes of ``windows``, ascending."""
+    out = windows(words, k).copy()
     out.sort()
     if len(out) > 1:
         out = out[np.concatenate(([True], out[1:] != out[:-1]))]

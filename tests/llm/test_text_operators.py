@@ -84,17 +84,39 @@ def test_decontamination_against_sets(spark):
         if len(w) > 12:
             w[3] = "changed"
         docs.append((100 + i, " ".join(r.choices(vocabulary, k=300) + w + r.choices(vocabulary, k=200))))
-    docs += [(500, None), (501, ""), (502, "w1 w2")]
-    want = {(d, i) for d, a in docs for i, b in items if (s := shingles(b, 5)) and len(s & shingles(a, 5)) >= 0.8 * len(s)}
-    assert want
+    docs += [(500, None), (501, ""), (502, "w1 w2"), (503, "x y W1\nw2 z"), (503, "x y W1\nw2 z"), (None, "a w1 w2 b"), (504, "w2 w1")]
+
+    def held(a, b):
+        width = min(5, len(WORD.findall((b or "").translate(LOWER))))
+        if not width or len(WORD.findall((a or "").translate(LOWER))) < width:
+            return 0
+        s = shingles(b, width)
+        n = len(s & shingles(a, width))
+        return n if n >= 0.8 * len(s) else 0
+
+    want = sorted((str(d), i, n) for d, a in docs for i, b in items if (n := held(a, b)))
+    assert [x for x in want if x[1] == 99 and x[0] in ("503", "None")] == [("503", 99, 1), ("503", 99, 1), ("None", 99, 1)]
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for most in (1_000_000, 10):
-        got = contaminated(frame, bench, most=most)
-        assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want
+    for block in (1_000_000, 40):
+        assert sorted((str(x["doc_id"]), x["item_id"], x["n_shared"]) for x in contaminated(frame, bench, block=block).collect()) == want
+    for kind in ("double", "decimal(20,3)", "string"):
+        odd_keys = bench.withColumn("item_id", F.col("item_id").cast(kind))
+        assert contaminated(frame.withColumn("doc_id", F.col("doc_id").cast(kind)), odd_keys).count() == len(want)
     assert contaminated(frame, bench.limit(0)).count() == 0 and contaminated(frame.limit(0), bench).count() == 0
     assert all(sketch_length(n, 0.8) >= min(n, n - int(np.ceil(0.8 * n - 1e-9)) + 1) for n in range(1, 500))
     assert contaminated(odd(spark), bench).count() == 0
-    assert decontamination.oracle()
+
+
+def test_decontamination_sql_takes_short_items(spark):
+    import duckdb
+
+    docs, items = [(1, "so the exact answer here, is"), (2, "exact answer"), (3, None), (4, "a b c d e f g")], [(1, "Exact answer here,"), (2, "answer"), (3, "b c d e f"), (4, " ")]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    c = duckdb.connect()
+    for name, df in (("documents", frame), ("benchmark", bench)):
+        c.register(name, df.toPandas())
+    got = sorted(tuple(x) for x in contaminated(frame, bench).select("doc_id", "item_id", "n_item", "n_shared").collect())
+    assert got == sorted(x[:4] for x in c.sql(decontamination.oracle()).fetchall()) == [(1, 1, 1, 1), (1, 2, 1, 1), (2, 2, 1, 1), (4, 3, 1, 1)]
 
 
 def language_rows(n=120):
