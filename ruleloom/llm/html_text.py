@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_chunk
+from .common import per_chunk, small_batches
 
 #: Fixed values of HTML: elements that start a block, that have no end, whose content is no text, whose text is a block of its own within a paragraph, and that end an open paragraph.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -40,7 +41,9 @@ APART = frozenset("canvas iframe noscript select template textarea".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head", "title")}
 SCOPE = frozenset("table ul ol dl article section div main body aside nav header footer form blockquote".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({NO_TEXT})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+# No part of a tag runs past a ``<`` that may begin another, so reading is linear in the page, stray quotes or not.
+_QUOTED = r"\"(?:[^\"<]|<(?![a-zA-Z/!?]))*+\"|'(?:[^'<]|<(?![a-zA-Z/!?]))*+'"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({NO_TEXT})(?=[\s/>])(?:[^'\"<>]|{_QUOTED})*+>.*?(?:</\1\s*>|\Z)|<({NO_TEXT})(?=[\s/>])[^<>]*>.*?(?:</\2\s*>|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][^\s/<>]*)((?:[^'\"<>]|{_QUOTED})*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -49,18 +52,23 @@ PATHS, WORDS, PATH_DIM, WORD_DIM, RATIOS, HIDDEN = 1024, 1024, 16, 8, 4, 16
 
 @dataclass(frozen=True)
 class Block:
-    path: tuple[str, ...]
+    path: tuple[int, ...]  # hashed tokens of all open elements and of the innermost one
     text: str
     linked: int  # characters inside links
 
 
 @lru_cache(maxsize=50_000)
-def _element(name: str, attributes: str) -> str:
-    """An element's tokens: its tag and the lower-case parts of class, id and role."""
-    tokens = [name]
+def _element(name: str, attributes: str) -> frozenset[int]:
+    """An element's hashed tokens: its tag and the lower-case parts of class, id and role."""
+    tokens = {name}
     for _, value in _ATTRIBUTE.findall(attributes):
-        tokens += [f"@{p}" for p in _PARTS.findall(value.lower())]
-    return " ".join(tokens)
+        tokens.update(f"@{p}" for p in _PARTS.findall(value.lower()))
+    return frozenset(zlib.crc32(t.encode()) % PATHS for t in tokens)
+
+
+@lru_cache(maxsize=100_000)
+def _path(inside: frozenset[int], leaf: str) -> tuple[int, ...]:
+    return tuple(sorted(inside | {zlib.crc32(f"leaf:{leaf}".encode()) % PATHS}))
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -68,7 +76,9 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    # Open elements with the tokens of all down to them (nested alike, they share one set), and how many of each name.
+    stack: list[tuple[str, frozenset[int]]] = []
+    depth: Counter[str] = Counter()
     parts: list[str] = []
     linked = links = drawn = 0
 
@@ -76,10 +86,21 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(e for _, e in stack), text, min(linked, len(text))))
+            leaf, inside = stack[-1] if stack else ("", frozenset())
+            out.append(Block(_path(inside, leaf), text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
+    def enter(name: str, attributes: str) -> None:
+        own, outer = _element(name, attributes), stack[-1][1] if stack else frozenset()
+        stack.append((name, outer if own <= outer else outer | own))
+        depth[name] += 1
+
+    def leave(to: int) -> None:
+        for name, _ in stack[to:]:
+            depth[name] -= 1
+        del stack[to:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -88,12 +109,12 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked += len(piece.strip())
         at = m.end()
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if not name:
-            if m[1]:
+            if m[1] or m[2]:
                 parts.append(" ")
             continue
-        name, end = name.lower(), (m[2] or m[5]) == "/"
+        name, end = name.lower(), (m[3] or m[6]) == "/"
         if name == "br":
             parts.append(" ")
         elif name == "a":
@@ -108,40 +129,37 @@ def blocks(page: str | None) -> list[Block]:
         elif name in APART:
             flush()
             if not end:
-                stack.append((name, _element(name, m[4] or m[7] or "")))
-            elif name in (e for e, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+                enter(name, m[5] or m[8] or "")
+            elif depth[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                leave(i)
         elif name in BLOCK:
             flush()
             if end:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if depth[name]:
+                    i = len(stack) - 1
+                    while stack[i][0] != name:
+                        i -= 1
+                    leave(i)
                 continue
             if stack and stack[-1][0] == "p" and name not in ("html", "head"):
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(name, ()):
-                    del stack[i:]
+                leave(len(stack) - 1)
+            for i in range(len(stack) - 1, -1, -1) if name in CLOSES else ():
+                if stack[i][0] in CLOSES[name]:
+                    leave(i)
                     break
                 if stack[i][0] in SCOPE:
                     break
             if name not in VOID:
-                stack.append((name, _element(name, m[4] or m[7] or "")))
+                enter(name, m[5] or m[8] or "")
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
-def _path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
-    tokens = {t for e in path for t in e.split()} | ({f"leaf:{path[-1].split()[0]}"} if path else {"leaf:"})
-    return tuple(sorted(zlib.crc32(t.encode()) % PATHS for t in tokens))
-
-
 def _word_ids(text: str) -> list[int]:
     crc = zlib.crc32
     return [crc(w.encode()) % WORDS for w in text.lower().split()]
@@ -166,7 +184,7 @@ class Labeller:
     def vectors(self, page: list[Block]) -> np.ndarray:
         out = np.zeros((len(page), PATH_DIM + WORD_DIM + RATIOS))
         for i, b in enumerate(page):
-            out[i, :PATH_DIM] = self.p["path"][list(_path_ids(b.path))].sum(axis=0)
+            out[i, :PATH_DIM] = self.p["path"][list(b.path)].sum(axis=0)
             out[i, PATH_DIM : PATH_DIM + WORD_DIM] = self.p["word"][_word_ids(b.text)].mean(axis=0)
             out[i, PATH_DIM + WORD_DIM :] = _ratios(b)
         return out
@@ -254,7 +272,7 @@ class Labeller:
         g["path"], g["word"] = np.zeros_like(self.p["path"]), np.zeros_like(self.p["word"])
         for j, page in enumerate(pages):
             for t, b in enumerate(page):
-                np.add.at(g["path"], list(_path_ids(b.path)), dx[t, j, :PATH_DIM])
+                np.add.at(g["path"], list(b.path), dx[t, j, :PATH_DIM])
                 ids = _word_ids(b.text)
                 np.add.at(g["word"], ids, dx[t, j, PATH_DIM : PATH_DIM + WORD_DIM] / len(ids))
         return loss, g
@@ -389,6 +407,7 @@ def train_labeller(n: int = 1000, epochs: int = 14, rate: float = 0.01, seed: in
 def extract(pages: DataFrame, model: Labeller | None = None, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` for every row."""
     model = model or train_labeller()
+    small_batches(pages.sparkSession)
     kind, url_kind = pages.schema[key].dataType.simpleString(), pages.schema[url].dataType.simpleString()
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -18,7 +18,9 @@ and renames, and the index names the attempt that counts.
 Defined cases: a null payload is empty; payloads under ``min_revisit`` bytes are always
 responses; rows with equal keys are all kept, and those that also hold the largest
 key of their payload are all responses; null keys never are a response that others
-name; an empty table writes no bundle.
+name; keys and URLs may hold any character (headers have them percent-encoded, the index
+as they are); an empty table writes no bundle.  A frame holds one record at least, so its
+size stays below the seek table's 4 GiB, as a string's does.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, open_fs, shared_dir, staged
+from .common import chunks, open_fs, shared_dir, small_batches, staged
 
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,7 +46,7 @@ _DATE = "1970-01-01T00:00:00Z"
 
 def record(identifier: str, url: str, payload: bytes, digest: str, refers_to: str | None = None) -> bytes:
     """One WARC record; a revisit carries no payload."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {''.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Record-ID: <{identifier}>", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: text/html; charset=utf-8"]
     if refers_to:
         head += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {_PROFILE}", f"X-Payload-Length: {len(payload)}"]
         payload = b""
@@ -123,13 +126,27 @@ class Bundle:
         self.file.close()
 
 
+_NAME = "urn:ruleloom:page:"
+
+
 def _identifier(key) -> str:
-    return f"urn:ruleloom:page:{'' if key is None else key}"
+    """Any key as one header word: what isn't a letter, digit or ``_.-~`` is percent-encoded."""
+    return _NAME + ("" if key is None else quote(str(key), safe=""))
+
+
+def _key(identifier: str) -> str:
+    return unquote(identifier.removeprefix(_NAME))
+
+
+def _uri(url: str) -> str:
+    """A URL as one header word: white space, controls and other characters that URLs can't hold are percent-encoded."""
+    return quote(url, safe="!#$%&'()*+,/:;=?@[]~", errors="replace")
 
 
 def write_archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload: str = "html", min_revisit: int = 1000) -> DataFrame:
     """Writes the bundles; returns the index ``key, url, uri, frame, offset``."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark)
     kind = pages.schema[key].dataType.simpleString()
     base = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
@@ -194,7 +211,7 @@ def read_archive(index: DataFrame, *, key: str = "page_id") -> DataFrame:
                     sizes.append(int(head["X-Payload-Length"]))
                 digests.append(digest)
                 types.append(head["WARC-Type"])
-                refers.append(head["WARC-Refers-To"].strip("<>").rpartition(":")[2] if "WARC-Refers-To" in head else None)
+                refers.append(_key(head["WARC-Refers-To"][1:-1]) if "WARC-Refers-To" in head else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(types, pa.string()), pa.array(refers, pa.string())], names=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if bundle:
             bundle.close()

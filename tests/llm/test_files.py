@@ -166,6 +166,19 @@ def test_bundle_random_access(tmp_path):
     assert parse(whole, 0)[1] == bodies[0]
 
 
+def test_archive_keys_and_urls_of_any_characters(spark):
+    body = "b" * 2000
+    rows = [("a:1", "http://e/a b\r\nX-Fake: 1", body), ("a:2", None, body), ("k\r\nWARC-Type: revisit %3A<é>", "http://e/é?q=1&r=%20", "small"), (None, "u", body)]
+    index = write_archive(spark.createDataFrame(rows, "page_id string, url string, html string"))
+    got = {x["page_id"]: x for x in read_archive(index).collect()}
+    assert set(got) == {k for k, _, _ in rows}
+    assert got["a:2"]["record_type"] == "response" and got["a:1"]["refers_to"] == got[None]["refers_to"] == "a:2"
+    for x in index.collect():
+        head, _ = Bundle(x["uri"]).record(x["frame"], x["offset"])
+        assert "X-Fake" not in head and not set(head["WARC-Target-URI"]) & set(" \r\n")
+    assert "http://e/é?q=1&r=%20" in [x["url"] for x in index.collect()]
+
+
 def test_archive_against_rows(spark):
     r = random.Random(2)
     bodies = ["x" * 1000, "y" * 999, "é" * 500, "z" * 5000, None, ""]
@@ -214,6 +227,24 @@ def test_gradients_are_right():
         assert g[k][i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
 
+def test_long_and_broken_pages_are_read_in_linear_time():
+    import time
+
+    def seconds(page):
+        t = time.process_time()
+        found = blocks(page)
+        return time.process_time() - t, found
+
+    shapes = {"stray quotes": "<p title=\"it's><b class='x\">text </p>", "nested": "<div class=a>t", "unclosed tags": "<a <b ", "declarations": "<! ", "open scripts": "<script ", "end tags": "<div></section>x"}
+    for name, shape in shapes.items():
+        few, _ = seconds(shape * 2_000)
+        many, found = seconds(shape * 20_000)
+        assert many < 40 * max(few, 0.02), (name, few, many)
+    assert len(seconds("<div>t" * 5_000)[1]) == 5_000
+    # A bracket in a quoted value is no end of the tag; text after a stray quote is kept.
+    assert [b.text for b in blocks("<p title='a > b' id=\"x<1\">one</p><p title=\"oops>two</p>")] == ["one", "two"]
+
+
 def test_pages_table(spark):
     import html as h
     import re
