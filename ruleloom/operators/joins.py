@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..schema import ForeignKey, TableSet
 
-#: A side is broadcast only if it has at most this many rows; else the join shuffles.
+#: A side is broadcast only if it has at most so many rows and bytes (as text); else the join shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a bounded count shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if a look at no more than ``rows`` rows shows that it is small."""
+    n, found = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if n <= rows and (found or 0) <= size else df
 
 
 def prefixed(df: DataFrame, name: str) -> DataFrame:

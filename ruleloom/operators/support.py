@@ -7,7 +7,8 @@ row alone has (counted before constants) is skipped.
 
 Each side is pre-aggregated and both sides meet in one grouped aggregate (a union,
 not a join), so a hot key costs no more than a cold one after the partial
-aggregation.  Rules of one key set share one scan and one shuffle, and a batch is one job.
+aggregation.  Rules of one left side share one scan and one shuffle, whatever their consequences, and
+a batch is one job.
 """
 
 from __future__ import annotations
@@ -28,8 +29,14 @@ def _equal(df: DataFrame, p: Predicate) -> Column:
 
 
 def _shape(rule: Rule) -> tuple[tuple[Predicate, ...], tuple[Predicate, ...], tuple[Predicate, ...]]:
-    """Equalities between t0 and t1 (t0 on the left), constants on t0, constants on t1."""
+    """Equalities between t0 and t1 (t0 on the left), constants on t0, constants on t1.
+
+    Only equalities can be counted by key: comparisons and similarity predicates are refused (``pairs`` makes their tuple pairs).
+    """
     joins, c0, c1 = [], [], []
+    for p in (*rule.lhs, rule.rhs):
+        if p.is_ml or p.op != "==":
+            raise ValueError(f"{p} can't be counted by key; use pairs()")
     for p in rule.lhs:
         if p.is_constant:
             (c0 if p.left.variable == 0 else c1).append(p)
@@ -124,18 +131,58 @@ def constant_consequences(tables: TableSet, lhs: Iterable[Predicate], consequenc
     return _finish(by_key, rule, fields, singles)
 
 
+def paired_consequences(tables: TableSet, lhs: Iterable[Predicate], consequences: list[Predicate], singles: bool = False) -> DataFrame:
+    """``i, lhs_support, support`` of rules with one left side and several consequences ``t0.y == t1.z``, from one scan.
+
+    Each row is counted once under its key and once under its key and every consequence's value.
+    """
+    lhs = tuple(lhs)
+    rule = Rule.of(lhs, consequences[0])
+    joins, c0, c1 = _shape(rule)
+    ends = [(p if p.left.variable == 0 else p.swapped()) for p in consequences]
+    names = rule.tables()
+    t0, t1 = tables.table(names[0]), tables.table(names[1])
+    keys = [f"k{i}" for i in range(len(joins))]
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def side(df: DataFrame, on: list[Column], columns: list[str], first: bool, second: bool) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(i).alias("i"), df[c].cast("string").alias("y")) for i, c in enumerate(columns)])
+        counted = [_all(_equal(df, p) for p in c0).cast("long").alias("a") if first else zero.alias("a"), _all(_equal(df, p) for p in c1).cast("long").alias("b") if second else zero.alias("b"), (one if first else zero).alias("every")]
+        return df.select(*[x.alias(k) for x, k in zip(on, keys, strict=True)], *counted, F.inline(values))
+
+    left = [normal_null(t0, p.left.column) for p in joins]
+    if names[0] == names[1] and all(p.left.column == p.right.column for p in (*joins, *ends)):
+        rows = side(t0, left, [p.left.column for p in ends], True, True)
+    else:
+        right = [normal_null(t1, p.right.column) for p in joins]
+        rows = side(t0, left, [p.left.column for p in ends], True, False).union(side(t1, right, [p.right.column for p in ends], False, True))
+    if keys:
+        rows = rows.dropna(subset=keys)
+    by_value = rows.groupBy(*keys, "i", "y").agg(*[F.sum(c).alias(c) for c in ("a", "b", "every")])
+    by_key = by_value.groupBy(*keys, "i").agg(*[F.sum(c).alias(c) for c in ("a", "b", "every")], F.sum(_product("a", "b")).alias("ab"))
+    if names[0] == names[1] and not singles:
+        by_key = by_key.where("every > 1")
+    got = by_key.groupBy("i").agg(F.sum(_product("a", "b")).cast("long").alias("lhs_support"), F.sum("ab").cast("long").alias("support"))
+    return got
+
+
 def evaluate(tables: TableSet, rules: list[Rule], width: int = 150, singles: bool = False) -> list[tuple[int, int]]:
-    """``(lhs_support, support)`` of each rule; rules that share a left side share a scan.
+    """``(lhs_support, support)`` of each rule; rules that share a left side share one scan and one shuffle of it.
 
     One job for each ``width`` plans; only two numbers a rule come to the driver.
     """
     plans: list[DataFrame] = []
     const: dict[tuple, list[int]] = {}
+    paired: dict[tuple, list[int]] = {}
     for i, r in enumerate(rules):
         if r.rhs.is_constant:
             const.setdefault(r.lhs, []).append(i)
         else:
-            plans.append(support(tables, r, singles).select(F.lit(i).alias("i"), "lhs_support", "support"))
+            paired.setdefault((r.lhs, tuple(sorted(r.tables().items()))), []).append(i)
+    for (lhs, _), at in paired.items():
+        numbers = F.array(*[F.lit(i) for i in at])
+        got = paired_consequences(tables, lhs, [rules[i].rhs for i in at], singles)
+        plans.append(got.select(numbers[F.col("i")].alias("i"), "lhs_support", "support"))
     for lhs, at in const.items():
         for part in (at[j : j + 100] for j in range(0, len(at), 100)):
             got = constant_consequences(tables, lhs, [rules[i].rhs for i in part], singles)
@@ -147,7 +194,8 @@ def evaluate(tables: TableSet, rules: list[Rule], width: int = 150, singles: boo
         for p in plans[j + 1 : j + width]:
             job = job.union(p)
         out |= {r["i"]: (r["lhs_support"], r["support"]) for r in job.collect()}
-    return [out[i] for i in range(len(rules))]
+    # A left side that no pair satisfies leaves no row.
+    return [out.get(i, (0, 0)) for i in range(len(rules))]
 
 
 def classify(lhs_support: int, supp: int, sigma: int, delta: float) -> str:

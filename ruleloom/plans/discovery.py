@@ -43,8 +43,8 @@ def mine(tables: TableSet, c: Config) -> tuple[list[Found], int]:
     return search(tables, space, right, sigma=sigma, delta=c.confidence, max_x=c.max_x, prune=c.prune), pairs
 
 
-def discover(spark: SparkSession, tables: TableSet, c: Config | None = None, model: scoring.Model | None = None, ids: dict[str, str] | None = None) -> DataFrame:
+def discover(spark: SparkSession, tables: TableSet, c: Config | None = None, model: scoring.Model | None = None) -> DataFrame:
     """The k rules chosen, one a row: rule, lhs_support, supp, conf, rel, div, score."""
     c = c or Config()
     found, pairs = mine(tables, c)
-    return scoring.frame(spark, scoring.greedy(tables, found, c, pairs, model, ids))
+    return scoring.frame(spark, scoring.greedy(tables, found, c, pairs, model))

@@ -71,19 +71,23 @@ def pair_counts(tables: TableSet, sets: list[frozenset[Predicate]]) -> list[int]
     return out
 
 
-def coverage(tables: TableSet, rule: Rule, chosen: list[Rule], exact: int = 6) -> int:
-    """Pairs that satisfy ``rule`` and no chosen rule, by inclusion and exclusion over counts.
+def coverage(tables: TableSet, rule: Rule, chosen: list[Rule]) -> int:
+    """Pairs that satisfy ``rule`` and no chosen rule: exact, for any number of chosen rules.
 
-    A conjunction of rules is again a set of predicates, so every term is one count.
-    With over ``exact`` chosen rules only those that share a table pair take part.
+    A conjunction of rules is again a set of predicates, so inclusion and exclusion is a sum of counts.
+    It is built up rule by rule with equal sets merged, so sets that cancel (a chosen rule that the set
+    already satisfies) or that contradict themselves are gone before anything is counted.
     """
     own = frozenset((*rule.lhs, rule.rhs))
-    others = [frozenset((*r.lhs, r.rhs)) for r in chosen if r.tables() == rule.tables()]
-    others = [o for o in others if closure(own | o) is not None]
-    if len(others) > exact:
-        raise ValueError(f"{len(others)} chosen rules overlap with this one; inclusion and exclusion is kept to {exact}")
-    terms = [(own.union(*part), (-1) ** n) for n in range(len(others) + 1) for part in combinations(others, n)]
-    return sum(sign * n for (_, sign), n in zip(terms, pair_counts(tables, [s for s, _ in terms]), strict=True))
+    terms: dict[frozenset[Predicate], int] = {own: 1} if closure(own) is not None else {}
+    for other in sorted({frozenset((*r.lhs, r.rhs)) for r in chosen if r.tables() == rule.tables()}, key=lambda s: (len(s), sorted(map(str, s)))):
+        for held, sign in list(terms.items()):
+            both = held | other
+            if both == held or closure(both) is not None:
+                terms[both] = terms.get(both, 0) - sign
+        terms = {held: sign for held, sign in terms.items() if sign}
+    counts = pair_counts(tables, list(terms))
+    return sum(sign * n for sign, n in zip(terms.values(), counts, strict=True))
 
 
 def sampled_coverage(tables: TableSet, f: Found, chosen: list[Rule], ids: tuple[str, str], *, rows: int = 200, seed: int = 0) -> float:
@@ -130,7 +134,7 @@ def diversity(f: Found, chosen: Chosen, c: Config, pairs: int, cover: float | No
     return out + w.tuple_coverage * (f.support if cover is None else cover) / max(1, pairs)
 
 
-def greedy(tables: TableSet, found: list[Found], c: Config, pairs: int, model: Model | None = None, ids: dict[str, str] | None = None) -> list[dict]:
+def greedy(tables: TableSet, found: list[Found], c: Config, pairs: int, model: Model | None = None) -> list[dict]:
     """K rounds, each the rule with the best relevance plus trade-off times marginal diversity; ties by text."""
     left, chosen, out = list(found), Chosen(), []
     while left and len(out) < c.k:
@@ -150,12 +154,7 @@ def greedy(tables: TableSet, found: list[Found], c: Config, pairs: int, model: M
             div = diversity(f, chosen, c, pairs, None)
             if c.diversity and chosen.rules and c.weights.tuple_coverage:
                 mates = [g.rule for g in chosen.rules]
-                try:
-                    cover = coverage(tables, f.rule, mates)
-                except ValueError:
-                    t = f.rule.tables()
-                    cover = sampled_coverage(tables, f, mates, (ids[t[0]], ids[t[1]])) if ids else f.support
-                div = diversity(f, chosen, c, pairs, cover)
+                div = diversity(f, chosen, c, pairs, coverage(tables, f.rule, mates))
             score = rel + c.trade_off * div
             if best is None or (score, [-ord(x) for x in str(f.rule)]) > (best[0], [-ord(x) for x in str(best[3].rule)]):
                 best = (score, rel, div, f)

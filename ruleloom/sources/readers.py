@@ -22,13 +22,27 @@ def read_table(spark: SparkSession, path: str, *, fmt: str | None = None, ratio:
     reader = spark.read.option("header", True).option("inferSchema", infer) if fmt == "csv" else spark.read
     df = reader.format({"txt": "text"}.get(fmt, fmt)).load(path)
     if ratio is not None and ratio < 1:
-        n = max(1, int(ratio * df.count()))
-        df = df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(n)
+        df = _lowest_share(df, ratio)
     if view:
         df.createOrReplaceTempView(view)
     return df
 
 
+def _lowest_share(df: DataFrame, ratio: float) -> DataFrame:
+    """The rows with the lowest hashes.  Only the hash range in which the share ends is sorted."""
+    h = F.xxhash64(*df.columns)
+    part = F.shiftright(h, 48)
+    counts = sorted(tuple(r) for r in df.groupBy(part.alias("part")).count().collect())  # 65,536 ranges at most
+    left, last = max(1, int(ratio * sum(n for _, n in counts))), None
+    for last, n in counts:
+        if n >= left:
+            break
+        left -= n
+    if last is None:
+        return df
+    return df.where(part < last).union(df.where(part == last).orderBy(h, *df.columns).limit(left))
+
+
 def read_directory(spark: SparkSession, paths: dict[str, str] | str, *, fmt: str = "csv", ratio: float | None = None) -> TableSet:
     """Every table of a folder, or of a name-to-path map."""
     if isinstance(paths, str):

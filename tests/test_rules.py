@@ -6,7 +6,7 @@ from itertools import combinations, product
 import pytest
 
 from ruleloom.operators.sets import SetTrie
-from ruleloom.operators.support import evaluate, support
+from ruleloom.operators.support import evaluate, paired_consequences, support
 from ruleloom.operators.violations import violations
 from ruleloom.plans import scoring
 from ruleloom.plans.config import Config
@@ -122,6 +122,43 @@ def test_coverage_counts_new_pairs(spark):
     assert scoring.coverage(t, two, [one]) == want
 
 
+def test_coverage_is_exact_with_many_overlapping_rules(spark):
+    rows = [r for r in table(11, 60) if r["A"] and r["B"] and r["C"]]
+    t = TableSet({"t": frame(spark, [(r["A"], r["B"], r["C"]) for r in rows])})
+    values = {c: sorted({r[c] for r in rows}) for c in "ABC"}
+    texts = ["t0.A == t1.A -> t0.B == t1.B", "t0.B == t1.B -> t0.C == t1.C", "t0.A == t1.A -> t0.C == t1.C", "t0.A == t1.A ^ t0.B == t1.B -> t0.C == t1.C"]
+    texts += [f"t0.{x} == t1.{x} -> t{v}.{y} == {values[y][0]}" for x, y in ("AB", "BC", "CA", "AC") for v in (0, 1)]
+    chosen = [rule(s) for s in texts]
+    assert len(chosen) > 10
+    new = rule("t0.C == t1.C -> t0.A == t1.A")
+
+    def holds(r, a, b):
+        side = (a, b)
+        return all(side[p.left.variable][p.left.column] == (side[p.right.variable][p.right.column] if p.right else p.constant) for p in (*r.lhs, r.rhs))
+
+    want = sum(holds(new, a, b) and not any(holds(r, a, b) for r in chosen) for a, b in product(rows, rows))
+    assert scoring.coverage(t, new, chosen) == want
+    assert scoring.coverage(t, new, [*chosen, new]) == 0
+    lines = scoring.evaluate_rules(t, [*chosen, new], 1)
+    assert lines[-1]["new_pairs"] == want
+
+
+def test_consequences_of_one_left_side_share_a_scan(spark):
+    rows = table(12, 50)
+    t = TableSet({"t": frame(spark, [(r["A"], r["B"], r["C"]) for r in rows])})
+    rules = [rule(s) for s in ("t0.A == t1.A -> t0.B == t1.B", "t0.A == t1.A -> t0.C == t1.C", "t0.A == t1.A -> t0.B == t1.C", "t0.A == t1.A ^ t0.B == t1.B -> t0.C == t1.C")]
+    assert evaluate(t, rules) == [tuple(support(t, r).first()) for r in rules]
+    plan = paired_consequences(t, rules[0].lhs, [r.rhs for r in rules[:2]])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_uncountable_predicates_are_refused(spark):
+    t = TableSet({"t": frame(spark, [("1", "2", "3")])})
+    for s in ("t0.A < t1.A -> t0.B == t1.B", "ML_near(t0.A, t1.A) -> t0.B == t1.B", "t0.A == t1.A -> t0.B <= t1.B"):
+        with pytest.raises(ValueError, match="counted by key"):
+            evaluate(t, [rule(s)])
+
+
 def test_greedy_is_the_best_each_round(spark):
     rows = [r for r in table(9, 50)]
     t = TableSet({"t": frame(spark, [(r["A"], r["B"], r["C"]) for r in rows])})

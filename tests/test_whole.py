@@ -77,12 +77,12 @@ def test_components_of_all_customers(spark):
         if u != u * 3 % 1000:
             a, b = find(u), find(u * 3 % 1000)
             up[max(a, b)] = min(a, b)
-    got = {r["node"]: r["root"] for r in queries.QUERIES["label_components_all"](spark, sf).collect()}
+    got = {r["node"]: r["root"] for r in queries.QUERIES["label_components"](spark, sf).collect()}
     assert got == {x: find(x) for x in list(up)}
 
 
 def test_predicate_pairs_of_whole_nations(spark):
-    agree(spark, queries.QUERIES["ml_predicate_pairs_all"], queries.ORACLE_SQL["ml_predicate_pairs_all"], "/root/testdata/sf0.01")
+    agree(spark, queries.QUERIES["ml_predicate_pairs"], queries.ORACLE_SQL["ml_predicate_pairs"], "/root/testdata/sf0.01")
 
 
 def test_stages_tell_rows_apart(spark):
