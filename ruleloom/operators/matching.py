@@ -115,12 +115,36 @@ def augment(c: Column, kind: str) -> Column:
     elif kind == "swap":
         out = F.when(F.size(words) > 1, F.concat(F.array(F.get(words, F.lit(1)), F.get(words, F.lit(0))), F.slice(words, 3, F.greatest(F.size(words) - 2, F.lit(0))))).otherwise(words)
     elif kind == "drop_col":
-        return F.trim(F.regexp_replace(c, r"COL \S+ VAL .*?(?=COL |$)$", ""))
+        return F.trim(F.regexp_replace(c, r"COL \S+ VAL (?:(?!COL \S+ VAL ).)*$", ""))  # the last column
+    elif kind in ("del", "ins"):
+        # A place by the record's hash; one to four tokens go from there, or one token is said twice.
+        at = F.pmod(F.xxhash64(c), F.size(words).cast("long")).cast("int")
+        span = F.pmod(F.xxhash64(c, F.lit(1)), F.lit(4)).cast("int") + 1
+        if kind == "del":
+            out = F.filter(words, lambda w, i: mark(w) | (i < at) | (i >= at + span))
+        else:
+            out = F.flatten(F.transform(words, lambda w, i: F.when((i == at) & ~mark(w), F.array(w, w)).otherwise(F.array(w))))
     else:
         raise ValueError(kind)
     return F.array_join(out, " ")
 
 
+def append_column(c: Column) -> Column:
+    """A serialised record whose first column's value is appended to its last column, and that first column is gone.
+
+    Records of fewer than two columns stay as they are.
+    """
+    first = F.regexp_extract(c, r"^COL \S+ VAL (.*?) ?(?=COL \S+ VAL )", 1)
+    rest = F.regexp_replace(c, r"^COL \S+ VAL .*?(?=COL \S+ VAL )", "")
+    return F.when(c.rlike(r"^COL \S+ VAL .*COL \S+ VAL "), F.trim(F.concat_ws(" ", F.trim(rest), F.trim(first)))).otherwise(c)
+
+
+def tag_entities(c: Column) -> Column:
+    """Numbers of a text as ``NUM(...)`` and product codes (letters and digits mixed, five or more) as ``ID(...)``."""
+    coded = F.regexp_replace(c, r"\b(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])([0-9A-Za-z]{5,})\b", "ID($1)")
+    return F.regexp_replace(coded, r"(?<![\w.(])(\d+(?:\.\d+)?)(?![\w.)])", "NUM($1)")
+
+
 def normalise_numbers(c: Column) -> Column:
     """Numbers without thousands separators and trailing zeros of decimals."""
     return F.regexp_replace(F.regexp_replace(c, r"(?<=\d),(?=\d{3}\b)", ""), r"(\d+\.\d*?[1-9])0+\b|(\d+)\.0+\b", "$1$2")

@@ -71,6 +71,11 @@ def is_subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
 
 
+def symmetric_difference(a: Column, b: Column) -> Column:
+    """What only one of two sets has; union, intersection and difference are Spark's own."""
+    return F.array_union(F.array_except(a, b), F.array_except(b, a))
+
+
 def merge_units(units: DataFrame, x: str = "x", rhs: str = "rhs") -> DataFrame:
     """Work units with equal left sides as one, their consequences united."""
     return units.groupBy(x).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(rhs)))).alias(rhs))

@@ -48,6 +48,11 @@ def predicate_support(a: DataFrame, ca: str, b: DataFrame, cb: str) -> DataFrame
     return x.join(y, "value").agg(F.coalesce(F.sum(F.col("f").cast("decimal(38,0)") * F.col("g")), F.lit(0)).cast("long").alias("support"))
 
 
+def shared_cardinality(df: DataFrame, column: str) -> DataFrame:
+    """``cardinality``: the ordered pairs of rows with equal present values of one column."""
+    return histogram(df, column).agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)).cast("long").alias("cardinality"))
+
+
 def moments(df: DataFrame, column: str) -> DataFrame:
     c = df[column].cast("double")
     return df.agg(F.avg(c).alias("average"), F.stddev_pop(c).alias("sigma"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from ..predicates import Predicate
 from ..schema import TableSet
-from . import scoring
+from . import bounded, scoring
 from .config import Config
 from .lattice import Found, search
 
@@ -46,5 +46,6 @@ def mine(tables: TableSet, c: Config) -> tuple[list[Found], int]:
 def discover(spark: SparkSession, tables: TableSet, c: Config | None = None, model: scoring.Model | None = None) -> DataFrame:
     """The k rules chosen, one a row: rule, lhs_support, supp, conf, rel, div, score."""
     c = c or Config()
-    found, pairs = mine(tables, c)
-    return scoring.frame(spark, scoring.greedy(tables, found, c, pairs, model))
+    space, right, sigma, pairs = predicate_space(tables, c)
+    frontier = bounded.Frontier(tables, space, right, sigma, c.confidence, c.max_x)
+    return scoring.frame(spark, bounded.choose(frontier, c, pairs, model))

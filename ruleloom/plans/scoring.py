@@ -34,11 +34,6 @@ def relevance_bound(support: int, c: Config, pairs: int, model_bound: float = 0.
     return c.weights.supp * support / max(1, pairs) + c.weights.conf + c.weights.rel_model * model_bound
 
 
-def diversity_bound(c: Config) -> float:
-    """No rule adds more diversity: nothing shared, all attributes new, all pairs uncovered."""
-    return c.weights.attribute_distance + c.weights.tuple_coverage
-
-
 @dataclass
 class Chosen:
     """The rules chosen so far and what they cover."""
@@ -134,34 +129,53 @@ def diversity(f: Found, chosen: Chosen, c: Config, pairs: int, cover: float | No
     return out + w.tuple_coverage * (f.support if cover is None else cover) / max(1, pairs)
 
 
+def diversity_bound(rule: Rule, support: int, chosen: Chosen, c: Config, pairs: int) -> float:
+    """No rule that extends this one, whose support is ``support``, adds more diversity (weights of 0 or more).
+
+    What an extension shares with the chosen rules only grows, and it covers no more than this one's support.
+    """
+    if not c.diversity:
+        return 0.0
+    w, out = c.weights, c.weights.tuple_coverage * support / max(1, pairs)
+    if chosen.rules:
+        out -= w.attribute_nonoverlap * len(rule.attributes() & chosen.attributes) / c.max_x
+        out -= w.predicate_nonoverlap * len(rule.predicates() & chosen.predicates) / c.max_x
+        out += w.attribute_distance if len(chosen.rules) == 1 else 0.0
+    return out
+
+
+def next_best(tables: TableSet, left: list[Found], chosen: Chosen, c: Config, pairs: int, model: Model | None = None) -> tuple[float, float, float, Found]:
+    """Score, relevance, diversity and the rule that is best beside the chosen ones; ties by text."""
+    counted = c.diversity and chosen.rules and c.weights.tuple_coverage
+    scored = []
+    for f in left:
+        # Coverage lies between 0 and the support: it is counted only for rules that could still win.
+        rel = relevance(f, c, pairs, model)
+        scored.append((rel + c.trade_off * diversity(f, chosen, c, pairs, float(f.support) if counted else None), rel, f))
+    scored.sort(key=lambda x: (-x[0], str(x[2].rule)))
+    best = None
+    for bound, rel, f in scored:
+        if best and bound < best[0]:
+            break
+        div = diversity(f, chosen, c, pairs, coverage(tables, f.rule, [g.rule for g in chosen.rules]) if counted else None)
+        score = rel + c.trade_off * div
+        if best is None or (score, [-ord(x) for x in str(f.rule)]) > (best[0], [-ord(x) for x in str(best[3].rule)]):
+            best = (score, rel, div, f)
+    return best
+
+
+def line(score: float, rel: float, div: float, f: Found) -> dict:
+    return {"rule": str(f.rule), "lhs_support": f.lhs_support, "supp": f.support, "conf": f.confidence, "rel": rel, "div": div, "score": score}
+
+
 def greedy(tables: TableSet, found: list[Found], c: Config, pairs: int, model: Model | None = None) -> list[dict]:
-    """K rounds, each the rule with the best relevance plus trade-off times marginal diversity; ties by text."""
+    """K rounds, each the rule with the best relevance plus trade-off times marginal diversity."""
     left, chosen, out = list(found), Chosen(), []
     while left and len(out) < c.k:
-        scored = []
-        for f in left:
-            cover = None
-            if c.diversity and chosen.rules and c.weights.tuple_coverage:
-                # Coverage lies between 0 and the support: it is counted only for rules that could still win.
-                cover = float(f.support)
-            rel = relevance(f, c, pairs, model)
-            scored.append([rel + c.trade_off * diversity(f, chosen, c, pairs, cover), rel, f])
-        scored.sort(key=lambda x: (-x[0], str(x[2].rule)))
-        best = None
-        for bound, rel, f in scored:
-            if best and bound < best[0]:
-                break
-            div = diversity(f, chosen, c, pairs, None)
-            if c.diversity and chosen.rules and c.weights.tuple_coverage:
-                mates = [g.rule for g in chosen.rules]
-                div = diversity(f, chosen, c, pairs, coverage(tables, f.rule, mates))
-            score = rel + c.trade_off * div
-            if best is None or (score, [-ord(x) for x in str(f.rule)]) > (best[0], [-ord(x) for x in str(best[3].rule)]):
-                best = (score, rel, div, f)
-        score, rel, div, f = best
-        chosen.add(f)
-        left.remove(f)
-        out.append({"rule": str(f.rule), "lhs_support": f.lhs_support, "supp": f.support, "conf": f.confidence, "rel": rel, "div": div, "score": score})
+        best = next_best(tables, left, chosen, c, pairs, model)
+        chosen.add(best[3])
+        left.remove(best[3])
+        out.append(line(*best))
     return out
 
 

@@ -101,9 +101,13 @@ class Predicate:
         if self.right is None:
             text = (self.constant or "").replace("'", "''")
             return f"if({name(self.left)} {op} '{text}', 1, 0)"
-        known = " and ".join(f"{name(o)} is not null and {name(o)} <> ''" for o in (self.left, self.right))
+        known = " and ".join(f"{name(o)} is not null and cast({name(o)} as string) <> ''" for o in (self.left, self.right))
         return f"if({known} and {name(self.left)} {op} {name(self.right)}, 1, 0)"
 
+    def condition(self) -> str:
+        """As a Spark SQL condition over aliases t0 and t1; equalities stay visible to the optimiser as join keys."""
+        return self.sql().removeprefix("if(").removesuffix(", 1, 0)")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -142,7 +146,7 @@ class Rule:
     def check_sql(self) -> str:
         """A Spark SQL query that counts the pairs of the left side and of the whole rule."""
         t = self.tables()
-        x = " and ".join(f"{p.sql()} = 1" for p in self.lhs) or "true"
+        x = " and ".join(p.condition() for p in self.lhs) or "true"
         return f"select count(*) as lhs_support, sum({self.rhs.sql()}) as support from {t[0]} t0 join {t[1]} t1 on {x}"
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import strings as S
@@ -15,35 +13,10 @@ from .operators.violations import violations
 from .plans import discovery, scoring
 from .plans.config import Config, Weights
 from .plans.relevance import rule_pairs
-from .predicates import Rule, parse_predicate, parse_rule
+from .predicates import Rule, parse_predicate
+from .registry import ORACLE_SQL, QUERIES, query, read, rule, tables  # noqa: F401
 from .schema import ForeignKey, TableSet, narrow_types
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def tables(spark: SparkSession, sf_dir: str, *names: str, **more) -> TableSet:
-    return TableSet({n: read(spark, sf_dir, n) for n in names}, **more)
-
-
-def rule(text: str, table: str) -> Rule:
-    return parse_rule(text, table)[0]
-
-
 # --- statistics -------------------------------------------------------------------------
 
 
@@ -712,3 +685,6 @@ def discovery_two_tables(spark, d):
     """Rules across customer and supplier, tied by a joinable column."""
     t = tables(spark, d, "customer", "supplier", skip={"customer": {"c_name", "c_acctbal", "c_custkey"}, "supplier": {"s_name", "s_acctbal", "s_suppkey"}})
     return discovery.discover(spark, t, Config(support=1e-5, confidence=0.1, k=3, max_x=2, trade_off=0.5, low=5, high=90, small_domain=0, share=0.01, key_share=1.0, weights=Weights(tuple_coverage=0.0)))
+
+
+from . import file_queries, measure_queries  # noqa: E402, F401  (they register theirs)
