@@ -11,9 +11,13 @@ length later; the tokens of a piece are read off its outputs from the end.
 Every byte is read by a transition; transitions are made when first met and kept.
 Beyond ``max_moves`` the older half is given up, with the states that no transition
 needs any more, and made anew when met.
-Pieces and their tokens are remembered in two generations of ``max_pieces``: the older
-one goes when the younger is full, and what is met again moves to the younger.
-The bounds limit memory only; results don't depend on them.
+Pieces and their tokens are remembered from their second time on (most are never met again),
+in two generations of ``max_pieces``: the older one goes when the younger is full, and what
+is met again moves to the younger.  Whether two tokens may meet is remembered in a table of
+fixed size, where a later pair takes an earlier one's place.
+The bounds limit memory only (a process grew by 199 MB over 130 million characters, with the
+bounds not all reached); results don't depend on them.
+A worker keeps them from task to task until a task of another operator comes.
 
 Whether ``t`` may follow ``u`` shows where they meet: while merging, the last part of ``u``
 and the first part of ``t`` grow in the order of their ranks, and a merge across the
@@ -33,6 +37,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -40,7 +45,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import per_chunk, text_table
+from .common import kept, per_chunk, text_table
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,11 +61,13 @@ _LAST = (1 << 20) - 1
 class Transducer:
     """Pieces to tokens by rank merges."""
 
-    def __init__(self, ranks: dict[bytes, int], *, max_moves: int = 600_000, max_pieces: int = 300_000, max_pairs: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], *, max_moves: int = 600_000, max_pieces: int = 300_000, max_pairs: int = 400_000, max_heads: int = 20_000):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
-        self.max_moves, self.max_pieces, self.max_pairs = max_moves, max_pieces, max_pairs
+        self.max_moves, self.max_pieces, self.max_heads = max_moves, max_pieces, max_heads
+        # One object for each rank, whichever transition it is read off.
+        self.same = {rank: rank for rank in ranks.values()}
         # The token trie: node * 256 + byte to node, and each node's token (-1: none) and whether it goes on.
         self.child: dict[int, int] = {}
         self.token_at, self.goes_on = [-1], [True]
@@ -76,15 +83,19 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.edges: dict[int, tuple | None] = {}
-        self.follows: dict[int, bool] = {}
+        # (u + 1 << 20 | t) << 1 | whether they may meet, at a place that the pair gives.
+        self.follows = array("q", [-1]) * (1 << max_pairs.bit_length() - 1)
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        # A place is node << 20 | last token + 1.  States have multiples of 256 as numbers, so that a state and
-        # a byte make one key; a transition is the next state's number << 20 | output token.
-        self.states: dict[int, tuple[int, ...]] = {0: (0,)}
-        self.numbers = {(0,): 0}
+        # By hash, whether a piece has been met; pieces that share a hash are remembered a time too early.
+        self.met = bytearray(1 << 20)
+        # A place is node << 20 | last token + 1, and a state its places as 64-bit integers.  States have multiples
+        # of 256 as numbers, so that a state and a byte make one key; a transition is the next state's number << 20 |
+        # output token.  The output is the state's last place, so a state's transitions from anywhere are one object.
+        self.states: list[bytes | None] = [array("q", [0]).tobytes()]
+        self.into: dict[bytes, int] = {}
+        self.unused: list[int] = []
         self.moves: dict[int, int] = {}
-        self.newest = 0
         self.heads: dict[bytes, tuple[int, list[int]]] = {}
 
     def merge(self, piece: bytes, least_parts: int = 1) -> list[bytes]:
@@ -124,13 +135,12 @@ class Transducer:
 
     def may_follow(self, u: int, t: int) -> bool:
         """Whether the merges of both tokens' bytes end in these two (-1: nothing precedes)."""
-        key = (u << 20) + t
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) >= self.max_pairs:
-                self.follows = dict(islice(self.follows.items(), self.max_pairs // 2, None))
-            known = self.follows[key] = self._border_holds(u, t)
-        return known
+        key = (u + 1 << 20) + t
+        at = u * 31_337 + t & len(self.follows) - 1
+        known = self.follows[at]
+        if known >> 1 != key:
+            known = self.follows[at] = key << 1 | self._border_holds(u, t)
+        return known & 1 == 1
 
     def _border_holds(self, u: int, t: int) -> bool:
         if u < 0:
@@ -155,36 +165,44 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """A new transition: the next state's number and the last token so far."""
-        child, token_at, goes_on, follows, places, last = self.child.get, self.token_at, self.goes_on, self.follows.get, [], -1
-        for place in self.states[state]:
+        child, token_at, goes_on, places, last = self.child.get, self.token_at, self.goes_on, [], -1
+        for place in memoryview(self.states[state >> 8]).cast("q"):
             node = child(place >> 20 << 8 | byte)
             if node is None:
                 continue
             before = place & _LAST
-            if last < 0 and (t := token_at[node]) >= 0:
-                fits = follows((before - 1 << 20) + t)
-                if self.may_follow(before - 1, t) if fits is None else fits:
-                    last = t
+            if last < 0 and (t := token_at[node]) >= 0 and self.may_follow(before - 1, t):
+                last = t
             if goes_on[node]:
                 places.append(node << 20 | before)
         if last < 0:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
         places.append(last + 1)
-        key = tuple(places)
-        number = self.numbers.get(key)
-        if number is None:
-            self.newest = number = self.newest + 256
-            self.numbers[key] = number
-            self.states[number] = key
-        self.moves[state | byte] = out = number << 20 | last
-        return out
+        key = array("q", places).tobytes()
+        move = self.into.get(key)
+        if move is None:
+            if self.unused:
+                at = self.unused.pop()
+                self.states[at] = key
+            else:
+                at = len(self.states)
+                self.states.append(key)
+            move = self.into[key] = at << 28 | last
+        self.moves[state | byte] = move
+        return move
 
     def _give_up_half(self, now: int) -> None:
         """Drops the older half of the transitions and the states that only they met, but not the state ``now``."""
         self.moves = dict(islice(self.moves.items(), len(self.moves) // 2, None))
-        used = {0, now, *(key & ~255 for key in self.moves), *(move >> 20 for move in self.moves.values())}
-        self.states = {number: places for number, places in self.states.items() if number in used}
-        self.numbers = {places: number for number, places in self.states.items()}
+        used = bytearray(len(self.states))
+        used[0] = used[now >> 8] = 1
+        for key, move in self.moves.items():
+            used[key >> 8] = used[move >> 28] = 1
+        for at, places in enumerate(self.states):
+            if not used[at] and places is not None:
+                del self.into[places]
+                self.states[at] = None
+                self.unused.append(at)
         self.heads = {}
 
     def run(self, piece: bytes) -> tuple[int, ...]:
@@ -203,9 +221,9 @@ class Transducer:
                     self._give_up_half(state)
                 state, more = self._read(state, piece[at : at + (1 << 16)])
                 outputs += more
-        out, at, length = [], len(piece), self.length
+        out, at, length, same = [], len(piece), self.length, self.same
         while at:
-            out.append(t := outputs[at - 1])
+            out.append(t := same[outputs[at - 1]])
             at -= length[t]
         return tuple(out[::-1])
 
@@ -219,6 +237,8 @@ class Transducer:
             at = move >> 20
             outputs.append(move & _LAST)
         if not state:
+            if len(self.heads) >= self.max_heads:
+                self.heads = {}
             self.heads[data] = at, outputs
         return at, outputs
 
@@ -230,8 +250,12 @@ class Transducer:
             if known is None:
                 known = self.run(text.encode("utf-8", "replace"))
             if len(text) < 40:
+                mark = hash(text) & len(self.met) - 1
+                if not self.met[mark]:
+                    self.met[mark] = 1
+                    return known
                 if len(self.pieces) >= self.max_pieces:
-                    self.older, self.pieces = self.pieces, {}
+                    self.older, self.pieces, self.met = self.pieces, {}, bytearray(len(self.met))
                 self.pieces[text] = known
         return known
 
@@ -349,8 +373,6 @@ class StreamDecoder:
 class Codec:
     """One vocabulary with its pattern; one a process, as states are kept."""
 
-    _kept: dict[tuple[str, str], Codec] = {}
-
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
@@ -360,13 +382,16 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls._kept:
-            cls._kept[path, pattern] = cls(path, pattern)
-            # These tables live as long as the process: no use in tracing them again and again.
-            gc.collect()
-            gc.freeze()
-            gc.set_threshold(50_000, 20, 50)
-        return cls._kept[path, pattern]
+        return kept((cls, path, pattern), lambda: cls._lasting(path, pattern))
+
+    @classmethod
+    def _lasting(cls, path: str, pattern: str) -> Codec:
+        out = cls(path, pattern)
+        # These tables live for many tasks: no use in tracing them again and again.
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(50_000, 20, 50)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -399,7 +424,7 @@ def encode_table(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id
         codec = Codec.of(path, pattern)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.encode(x) for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], names=["key", "ids"])
 
-    return text_table(docs, key, text).mapInArrow(per_chunk(encode), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return text_table(docs, key, text).mapInArrow(per_chunk(encode, keeps=True), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode_table(rows: DataFrame, path: str, pattern: str, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -410,7 +435,7 @@ def decode_table(rows: DataFrame, path: str, pattern: str, *, key: str = "doc_id
         codec = Codec.of(path, pattern)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([codec.decode(x or ()) for x in part.column(1).to_pylist()], pa.string())], names=["key", "text"])
 
-    return rows.select(rows[key].alias("key"), rows[ids].cast("array<int>").alias("ids")).mapInArrow(per_chunk(decode), f"key {kind}, text string").withColumnRenamed("key", key)
+    return rows.select(rows[key].alias("key"), rows[ids].cast("array<int>").alias("ids")).mapInArrow(per_chunk(decode, keeps=True), f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def digest_table(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -427,4 +452,4 @@ def digest_table(docs: DataFrame, path: str, pattern: str, *, key: str = "doc_id
             decoded.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return text_table(docs, key, text).mapInArrow(per_chunk(digest), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return text_table(docs, key, text).mapInArrow(per_chunk(digest, keeps=True), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..staging import released, shared_dir, staged
 
-__all__ = ["CHUNK_BYTES", "chunks", "open_fs", "per_chunk", "released", "shared_dir", "small_batches", "staged", "text_table"]
+__all__ = ["CHUNK_BYTES", "chunks", "forget", "kept", "open_fs", "per_chunk", "released", "shared_dir", "small_batches", "staged", "text_table"]
 
 #: Rows handed to numpy at once stay near this many bytes of text (one longer row goes alone).
 CHUNK_BYTES = 2 << 20
@@ -27,10 +27,27 @@ def chunks(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
     yield from chunks(batch.slice(half), column)
 
 
-def per_chunk(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: int = 1) -> Callable:
-    """A mapInArrow function that applies ``make`` to slices of bounded size."""
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable):
+    """What ``make`` gives, made once and kept by the worker until ``forget``."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Lets go of all that is kept: workers go on from one operator to the next, and their tables would add up."""
+    _KEPT.clear()
+
+
+def per_chunk(make: Callable[[pa.RecordBatch], pa.RecordBatch], column: int = 1, *, keeps: bool = False) -> Callable:
+    """A mapInArrow function that applies ``make`` to slices of bounded size; ``keeps``: it goes on with what the worker has kept."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         for batch in batches:
             for part in chunks(batch, column):
                 yield make(part)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, per_chunk, small_batches, staged, text_table
+from .common import chunks, forget, per_chunk, small_batches, staged, text_table
 from .shingles import mix, word_spans
 
 _U = np.uint64
@@ -220,6 +220,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 1
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct (two words before, word, class) of each slice, the words before as one hash."""
+    forget()
     for batch in batches:
         for part in chunks(batch):
             ids, spelled, classes = [], [], []

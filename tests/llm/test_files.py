@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ruleloom.llm import queries
 from ruleloom.llm.bpe import Codec, Transducer, decode_table, digest_table, encode_table, read_ranks
+from ruleloom.llm.common import per_chunk
 from ruleloom.llm.html_text import blocks, extract, synthetic_pages, train_labeller
 from ruleloom.llm.near_dup import near_duplicates
 from ruleloom.llm.token_files import SequenceFile, WordEncoder, read_tokens, write_tokens
@@ -54,6 +56,34 @@ def test_few_states_change_nothing(texts):
         assert len(small.moves) < 20 + 100 and len(small.pieces) <= 10
 
 
+def test_full_tables_are_small():
+    """At a thirtieth of the default bounds 4 MB (9 with a tuple a state, an integer a token and every piece kept); words met once aren't kept."""
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlu") + r.choice(["th", "in", "er", "on", "ça", "x9"]) for _ in range(5)) for _ in range(12_000)]
+    ranks = read_ranks(RANKS)
+    tracemalloc.start()
+    try:
+        machine = Transducer(ranks, max_moves=20_000, max_pieces=10_000, max_pairs=20_000, max_heads=300)
+        empty = tracemalloc.get_traced_memory()[0]
+        once = [machine.piece(w) for w in words]
+        assert len(machine.pieces) < 1000 and len(machine.heads) <= 300
+        again = [machine.piece(w) for w in words]
+        assert tracemalloc.get_traced_memory()[0] - empty < 6e6
+    finally:
+        tracemalloc.stop()
+    assert len(machine.pieces) + len(machine.older) >= 10_000 and len(machine.moves) > 10_000
+    assert once == again == [machine.run(w.encode()) for w in words]
+    assert all(machine.run(w.encode()) == tuple(ranks[p] for p in machine.merge(w.encode())) for w in words[:500])
+
+
+def test_workers_keep_one_operators_tables():
+    codec = Codec.of(RANKS, public_tokenizers.PATTERN)
+    list(per_chunk(lambda part: part, keeps=True)(iter([])))
+    assert Codec.of(RANKS, public_tokenizers.PATTERN) is codec
+    list(per_chunk(lambda part: part)(iter([])))
+    assert Codec.of(RANKS, public_tokenizers.PATTERN) is not codec
+
+
 def test_every_byte_is_read_by_a_transition(texts):
     """The transitions left behind spell every piece, and merging is only asked about single tokens."""
     machine = Transducer(read_ranks(RANKS))
